@@ -1,22 +1,6 @@
-"""The registered queries: each takes (spark, folder of tables) and returns a DataFrame."""
+"""All registered queries: each takes (spark, folder of tables) and returns a DataFrame."""
 
-from __future__ import annotations
+from . import documents, tables  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Register a query under a name, with its DuckDB equivalent if there is one."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
+__all__ = ["ORACLES", "QUERIES"]
