@@ -45,12 +45,15 @@ FACE[65:91] = np.arange(97, 123)
 FACE[128:] = np.arange(128, 256)
 
 
-def cells(buf: np.ndarray) -> np.ndarray:
-    """The cell of the trigram that begins at each byte."""
-    x = np.zeros(len(buf) + 2, np.uint32)
+def cells(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The cell of the trigram that begins at each byte; behind the end of its text there are spaces."""
+    x = np.full(len(buf) + 2, 32, np.uint32)
     x[: len(buf)] = FACE[buf]
-    x[len(buf) :] = 32
-    h = (x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(0x9E3779B1)
+    second, third = x[1:-1].copy(), x[2:].copy()
+    ends = off[1:][np.diff(off) > 0]
+    second[ends - 1] = third[ends - 1] = 32
+    third[ends[ends > 1] - 2] = 32
+    h = (x[:-2] << 16 | second << 8 | third) * np.uint32(0x9E3779B1)
     return (h >> np.uint32(32 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
@@ -59,7 +62,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, off = flat(batch.column("text"))
         langs = np.array(batch.column("lang").to_pylist(), object)
         owner = np.repeat(np.arange(len(langs)), np.diff(off))
-        cell = cells(buf)
+        cell = cells(buf, off)
         for lang in sorted(set(langs)):
             n = np.bincount(cell[langs[owner] == lang], minlength=CELLS)
             at = np.flatnonzero(n)
@@ -94,7 +97,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     return Model(langs, counts)
 
 
-def mixtures(like: np.ndarray, doc: np.ndarray, n_docs: int, log_prior_doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(like: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Language proportions of each document, and which languages were selected.
 
     `like` holds the log-likelihood of each unit under each language, `doc` its document.
@@ -153,34 +156,40 @@ def mixtures(like: np.ndarray, doc: np.ndarray, n_docs: int, log_prior_doc: np.n
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    names = np.array([*model.langs, "und"], object)
     for batch in steps(batches, "text", STEP):
-        buf, off = flat(batch.column("text"))
-        n = len(off) - 1
-        size = np.diff(off)
-        letters = np.zeros(n, bool)
-        ascii_letter = np.concatenate(([0], np.cumsum(np.isin(FACE[buf], np.arange(97, 123)))))
-        letters[ascii_letter[off[1:]] > ascii_letter[off[:-1]]] = True
-        for i in np.flatnonzero(~letters & (size > 0)):
-            letters[i] = LETTER.search(batch.column("text")[i].as_py()) is not None
-        # units begin at the first word begin in each stretch of UNIT_BYTES
-        face = FACE[buf]
-        word = np.ones(len(buf), bool)
-        word[1:] = (face[1:] != 32) & (face[:-1] == 32)
-        begins = np.flatnonzero(word)
-        owner = np.searchsorted(off, begins, side="right") - 1
-        slot = (begins - off[owner]) // UNIT_BYTES
-        first = np.ones(len(begins), bool)
-        first[1:] = (slot[1:] != slot[:-1]) | (owner[1:] != owner[:-1])
-        begins = np.unique(np.concatenate((begins[first], off[:-1][size > 0])))
-        doc = np.searchsorted(off, begins, side="right") - 1
-        like = np.add.reduceat(model.log_p[cells(buf)], begins, axis=0) * np.float32(TEMPER) if len(begins) else np.zeros((0, len(model.langs)), np.float32)
-        share, chosen = mixtures(like, doc, n)
-        best = share.argmax(axis=1)
-        pred = np.where(letters, best, len(model.langs))
-        score = np.where(letters, np.clip(share[np.arange(n), best], 0, 1), 0.0)
-        langs = [sorted(names[:-1][c]) if ok else [] for c, ok in zip(chosen, letters, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[pred].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string()))], names=["doc_id", "lang_pred", "score", "langs"])
+        pred, score, langs = infer(batch.column("text"), model)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string()))], names=["doc_id", "lang_pred", "score", "langs"])
+
+
+def infer(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, list[list[str]]]:
+    """Prediction, score and selected languages of each text."""
+    names = np.array([*model.langs, "und"], object)
+    buf, off = flat(texts)
+    n = len(off) - 1
+    size = np.diff(off)
+    letters = np.zeros(n, bool)
+    ascii_letter = np.concatenate(([0], np.cumsum(np.isin(FACE[buf], np.arange(97, 123)))))
+    letters[ascii_letter[off[1:]] > ascii_letter[off[:-1]]] = True
+    for i in np.flatnonzero(~letters & (size > 0)):
+        letters[i] = LETTER.search(texts[i].as_py()) is not None
+    # units begin at the first word begin in each stretch of UNIT_BYTES
+    face = FACE[buf]
+    word = np.ones(len(buf), bool)
+    word[1:] = (face[1:] != 32) & (face[:-1] == 32)
+    begins = np.flatnonzero(word)
+    owner = np.searchsorted(off, begins, side="right") - 1
+    slot = (begins - off[owner]) // UNIT_BYTES
+    first = np.ones(len(begins), bool)
+    first[1:] = (slot[1:] != slot[:-1]) | (owner[1:] != owner[:-1])
+    begins = np.unique(np.concatenate((begins[first], off[:-1][size > 0])))
+    doc = np.searchsorted(off, begins, side="right") - 1
+    like = np.add.reduceat(model.log_p[cells(buf, off)], begins, axis=0) * np.float32(TEMPER) if len(begins) else np.zeros((0, len(model.langs)), np.float32)
+    share, chosen = mixtures(like, doc, n)
+    best = share.argmax(axis=1)
+    pred = np.where(letters, best, len(model.langs))
+    score = np.where(letters, np.clip(share[np.arange(n), best], 0, 1), 0.0)
+    langs = [sorted(names[:-1][c]) if ok else [] for c, ok in zip(chosen, letters, strict=True)]
+    return names[pred].tolist(), score, langs
 
 
 def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,6 +206,23 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
     return docs.mapInArrow(partial(_predict, model=model), "doc_id long, lang_pred string, score double, langs array<string>")
 
 
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in steps(batches, text_col, STEP):
+        pred, score, _ = infer(batch.column(text_col), model)
+        yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+
+def identified(docs: DataFrame, model: Model | None, *, text_col: str = "text", least: float = 0.35) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language.
+
+    Rows go whose prediction is `und` or whose largest language has less than `least` of the
+    text.  Without a model there are no languages, and no rows stay.
+    """
+    if model is None:
+        return docs.limit(0)
+    return docs.mapInArrow(partial(_keep, model=model, text_col=text_col, least=least), docs.schema)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; false for null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

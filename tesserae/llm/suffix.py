@@ -329,6 +329,27 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([doc, pa.array(size, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(out, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
+def _rewrite(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Cut the texts; a character that loses some of its bytes goes whole. Then drop the intervals."""
+    for batch in batches:
+        names = batch.schema.names
+        part = pa.RecordBatch.from_arrays([batch.column(c) for c in ("__key", text_col, "__gone")], names=["doc_id", "text", "gone"])
+        out = next(_apply(iter([part])))
+        texts = pa.array([None if not t.is_valid else k.as_py().decode("utf-8", "ignore") for t, k in zip(batch.column(text_col), out.column("kept"), strict=True)], batch.column(text_col).type)
+        keep = [c for c in names if c not in ("__key", "__gone")]
+        yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(c) for c in keep], names=keep)
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
+    """The rows of docs, with all their columns, their texts without repeated passages.
+
+    The same bytes go as in `repeated_passages`; null texts stay null.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
+    gone = removed_intervals(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), width).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_list(F.struct("lo", "hi")).alias("__gone"))
+    return docs.withColumn("__key", key).join(gone, "__key", "left").mapInArrow(partial(_rewrite, text_col=text_col), docs.schema)
+
+
 def removed_intervals(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, lo, hi): byte intervals to remove, for docs (doc_id, text) without null ids."""
     rows = docs.mapInArrow(partial(_runs, width=width), _OUT)
