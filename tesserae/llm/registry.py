@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, html, langid, quality, suffix, topk, warc
+from . import bpe, decontaminate, html, langid, lm, quality, suffix, topk, warc
 from .jaccard import jaccard_components
 from .vocabulary import vocabulary_path
 
@@ -59,6 +59,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stupid-backoff score of every document under the bigrams of all documents."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What WARC records of all pages say after being written and read back."""
@@ -112,6 +118,18 @@ SELECT doc_id, item_id, matched, window_words, doc_start, item_start FROM best
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_start, item_start) = 1
 """
 
+ORACLES["op6_lm_scores"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS b, generate_subscripts(w, 1) AS i FROM t),
+g AS (SELECT doc_id, lag(b) OVER (PARTITION BY doc_id ORDER BY i) AS a, b FROM e),
+one AS (SELECT b, count(*) AS n FROM g GROUP BY b),
+two AS (SELECT a, b, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+s AS (SELECT doc_id, CASE WHEN g.a IS NULL THEN ln(o.n / CAST((SELECT count(*) FROM g) AS DOUBLE)) WHEN two.n IS NOT NULL THEN ln(two.n / CAST(c.n AS DOUBLE)) ELSE ln(0.4 * o.n / (SELECT count(*) FROM g)) END AS l
+  FROM g JOIN one o ON o.b = g.b LEFT JOIN two ON two.a = g.a AND two.b = g.b LEFT JOIN one c ON c.b = g.a),
+d AS (SELECT doc_id, count(*) AS n_words, sum(l) AS s FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(s, 0), 4) AS log_score, CASE WHEN n_words > 0 THEN round(s / n_words, 4) END AS mean_log_score FROM documents LEFT JOIN d USING (doc_id)
+"""
+
 _DOC_WORDS = r"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 """
