@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import blob_oid, map_key
-from ..functions.paths import language
+from ..functions.paths import EXTENSIONS, RUBY_NAMES, language
 from ..operators.store import to_parse
-from .extract import rust
+from .extract import ruby, rust
 
 PARAM = pa.struct([("kind", pa.string()), ("name", pa.string())])
 UNIT = pa.schema([("oid", pa.string()), ("lang", pa.string()), ("name", pa.string()), ("owner", pa.string()), ("singleton", pa.bool_()), ("visibility", pa.string()), ("params", pa.list_(PARAM)), ("via", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("norm_hash", pa.string()), ("nodes", pa.int32())])
@@ -51,13 +51,51 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return files.groupBy("root").agg(map_key(F.col("path"), F.col("oid")).alias("map_key"))
 
 
+def parsed(lang: str, src: str) -> tuple[list[dict], dict[str, list[tuple[int, int, int]]]]:
+    """(units, signatures) of a source; Rust has no signatures."""
+    if lang == "ruby":
+        return ruby.units(src)[:2]
+    return (rust.units(src)[0], {}) if lang == "rust" else ([], {})
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    for batch in batches:
+        rows = []
+        for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for body, shapes in parsed(lang, (raw or b"").decode("utf-8", "replace"))[1].items():
+                rows += [{"norm_hash": body, "subtree_hash": signed(h), "nodes": n, "parent_hash": signed(p) if p else None} for h, n, p in shapes]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("norm_hash", pa.string()), ("subtree_hash", pa.int64()), ("nodes", pa.int32()), ("parent_hash", pa.int64())]))
+
+
+def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path, lang, raw in zip(*(batch.column(c).to_pylist() for c in ("path", "lang", "content")), strict=True):
+            if lang == "ruby":
+                rows += [{"path": path, "name": r["name"], "nesting": r["nesting"], "at": r["line"]} for r in ruby.const_reads((raw or b"").decode("utf-8", "replace"))]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("name", pa.string()), ("nesting", pa.string()), ("at", pa.int32())]))
+
+
+def signatures(blobs: DataFrame) -> DataFrame:
+    """The shapes of each body of blobs (lang, content), once for each body."""
+    rows = blobs.select("lang", "content").mapInArrow(_signatures, "norm_hash string, subtree_hash long, nodes int, parent_hash long")
+    return rows.dropDuplicates(["norm_hash", "subtree_hash"])
+
+
+def const_reads(files: DataFrame) -> DataFrame:
+    """(path, name, nesting, at): the constants that Ruby files (path, lang, content) read."""
+    return files.select("path", "lang", "content").mapInArrow(_reads, "path string, name string, nesting string, at int")
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for oid, lang, raw in zip(*(batch.column(c).to_pylist() for c in ("oid", "lang", "content")), strict=True):
-            if lang == "rust":
-                found, _, _ = rust.units((raw or b"").decode("utf-8", "replace"))
-                rows += [{"oid": oid} | u for u in found]
+            found = parsed(lang, (raw or b"").decode("utf-8", "replace"))[0]
+            rows += [{"oid": oid} | u for u in found]
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=UNIT)
 
@@ -76,4 +114,6 @@ def ingest(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def outline(path: str, src: str) -> list[dict]:
     """The units of one file, without tables."""
-    return rust.units(src)[0] if Path(path).suffix == ".rs" else []
+    name = Path(path).name
+    lang = "rust" if name.endswith(".rs") else "ruby" if name in RUBY_NAMES or Path(name).suffix[1:] in EXTENSIONS["ruby"] else ""
+    return parsed(lang, src)[0]
