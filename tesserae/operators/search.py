@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import Policy, under
 from ..functions.text import lexical_score
 from ..functions.vectors import cosine
+from .sizes import bounded
 
 RRF_K, SUMMARY_WEIGHT, IDENTIFIER_WEIGHT, NON_APP_DISCOUNT, LIMIT = 60.0, 1.0, 0.7, 0.5, 10
 TINY = 1.1754943508222875e-38
@@ -42,7 +43,7 @@ def fused(units: DataFrame, queries: DataFrame, *, floor: float = 0.0, scope: st
     Queries: query_id, tokens, vec.  A unit that only a container nominates counts as lexical.
     """
     u = units.where(under(F.col("path"), scope))
-    q = F.broadcast(queries.select("query_id", F.col("tokens").alias("q_tokens"), F.col("vec").alias("q_vec")))
+    q = bounded(queries.select("query_id", F.col("tokens").alias("q_tokens"), F.col("vec").alias("q_vec")))
     scored = u.select("unit", "tokens", "vec", "vec_via").crossJoin(q).select("query_id", "unit", "vec_via", lexical_score(F.col("q_tokens"), F.col("tokens")).alias("lex"), F.when(F.col("vec").isNotNull(), cosine(F.col("q_vec"), F.col("vec"))).alias("cos"))
     lex = scored.where("lex > 0").withColumn("r", rank_by("lex", "unit")).select("query_id", "unit", (F.col("lex") / (RRF_K + F.col("r"))).alias("part"), F.col("lex").alias("lexical"), F.lit(None).cast("double").alias("cosine"), F.lit(None).cast("double").alias("container_cosine"))
     weight = F.when(F.col("vec_via") == "summary", SUMMARY_WEIGHT).otherwise(IDENTIFIER_WEIGHT)
@@ -72,6 +73,6 @@ def search(units: DataFrame, queries: DataFrame, policy: Policy | None = None, *
 
 def withheld_below(units: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
     """(query_id, withheld): how many units have a cosine above 0 but below the floor."""
-    q = F.broadcast(queries.select("query_id", F.col("vec").alias("q_vec")))
+    q = bounded(queries.select("query_id", F.col("vec").alias("q_vec")))
     c = units.where(F.col("vec").isNotNull()).crossJoin(q).select("query_id", cosine(F.col("q_vec"), F.col("vec")).alias("c"))
     return c.groupBy("query_id").agg(F.count_if((F.col("c") > 0) & (F.col("c") < floor)).alias("withheld"))

@@ -10,6 +10,7 @@ from ..functions.paths import Policy, under, withheld
 from ..functions.text import humanize, lexical_score, round2, round4, tokens
 from ..functions.vectors import cosine, hash_embed_native, shortened
 from ..operators import canonical, caveat, evaluate, search, summary
+from ..operators.sizes import bounded
 from .documents import COSINE
 from .registry import query, table
 
@@ -99,7 +100,7 @@ CENTROIDS = "d AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM
 def _with_centroids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
     first = e.groupBy("label").agg(F.min("vec_id").alias("first"))
-    u = e.join(F.broadcast(first), "label").select(F.col("vec_id").alias("unit"), F.col("label").cast("string").alias("owner"), F.when(F.col("vec_id") == F.col("first"), "public").otherwise("private").alias("visibility"), F.lit(None).cast("string").alias("via"), F.col("embedding").alias("vec"))
+    u = e.join(bounded(first), "label").select(F.col("vec_id").alias("unit"), F.col("label").cast("string").alias("owner"), F.when(F.col("vec_id") == F.col("first"), "public").otherwise("private").alias("visibility"), F.lit(None).cast("string").alias("via"), F.col("embedding").alias("vec"))
     return e, search.containers(u)
 
 
@@ -114,7 +115,7 @@ def container_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def centroid_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each cosine floor, how many vectors keep their own label's centroid and how many others are cut."""
     e, c = _with_centroids(spark, sf_dir)
-    both = e.crossJoin(F.broadcast(c)).select((F.col("label").cast("string") == F.col("owner")).alias("own"), cosine(F.col("embedding"), F.col("centroid")).alias("cosine"))
+    both = e.crossJoin(bounded(c)).select((F.col("label").cast("string") == F.col("owner")).alias("own"), cosine(F.col("embedding"), F.col("centroid")).alias("cosine"))
     return evaluate.floors(both.where("own"), both.where("not own"))
 
 
