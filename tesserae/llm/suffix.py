@@ -12,11 +12,13 @@ one and the same such place form a *run*; only runs are shipped, some 40 bytes o
    each step's texts, then over the corpus.
 2. Buckets that hold one run are done: nothing in them repeats.
 3. Of the other buckets, the text of each remaining run is fetched, and the suffixes of a
-   block of buckets are sorted by difference cover: sample positions (offsets in a
-   difference cover modulo V) are ranked first; suffixes are then sorted by bucket and their
-   first V bytes, and ties are resolved by the ranks of the sample positions that both
-   reach within V bytes.  Neighbours in that order that agree on `width` bytes are repeats,
-   and the first of each group by (doc_id, start) stays.
+   block of buckets are sorted by difference cover.  Positions count from the place of the
+   bucket's gram, so suffixes that agree on `width` bytes have the same phase modulo V.
+   Sample positions, whose phase is in the cover, are ranked first; suffixes are then sorted
+   by bucket and their first V bytes, and ties of one phase are resolved by the ranks of the
+   next sample positions.  (Ties of different phases differ further on, and their order
+   doesn't matter.)  Neighbours that agree on `width` bytes are repeats, and the first of
+   each group by (doc_id, start) stays.
 4. A bucket of more than `CROWDED` runs is split by a longer prefix first, the hash of the
    whole `width` bytes, and needs no sort.
 """
@@ -64,9 +66,9 @@ def least_grams(buf: np.ndarray, hashes: Poly, width: int) -> tuple[np.ndarray,
 
 
 def runs(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Text number, start, number of suffixes, bucket and content hash of each run."""
+    """Text number, start, number of suffixes, gram's place from the start, bucket and content hash of each run."""
     if len(buf) < width:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, U64) for _ in range(2))
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, U64) for _ in range(2))
     a = Poly(buf, BASE_A)
     place, gram = least_grams(buf, a, width)
     text = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(place)]
@@ -78,7 +80,7 @@ def runs(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ...]
     lo, hi = np.flatnonzero(begin), np.flatnonzero(end)
     p = place[lo]
     content = mix(Poly(buf, BASE_B)(lo, hi + width) + mix(((p - lo) << 32 | (hi - lo)).astype(U64)))
-    return text[lo], lo - off[text[lo]], hi - lo + 1, gram[p], content
+    return text[lo], lo - off[text[lo]], hi - lo + 1, p - lo, gram[p], content
 
 
 def later(groups: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -113,29 +115,30 @@ def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return doc[at], lo[at], reach[last] - lift[at]
 
 
-_OUT = "doc_id long, start long, n long, bucket long, content long"
+_RUN = ["doc_id", "start", "n", "place", "bucket", "content"]
+_OUT = "doc_id long, start long, n long, place int, bucket long, content long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Runs that may be first (with bucket), and intervals of bytes to remove (without)."""
     for batch in steps(batches, "text"):
         buf, off = flat(batch.column("text"))
-        text, start, n, bucket, content = runs(buf, off, width)
+        text, start, n, place, bucket, content = runs(buf, off, width)
         doc = batch.column("doc_id").to_numpy()[text]
         gone = later([content, bucket], doc, start)
         d, lo, hi = merged(doc[gone], start[gone], (start + n)[gone] + width - 1)
         stay = ~gone
         none = pa.nulls(len(d), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(doc[stay]), pa.array(start[stay]), pa.array(n[stay]), signed(bucket[stay]), signed(content[stay])], names=["doc_id", "start", "n", "bucket", "content"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[stay]), pa.array(start[stay]), pa.array(n[stay]), pa.array(place[stay].astype(np.int32)), signed(bucket[stay]), signed(content[stay])], names=_RUN)
         if len(d):
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi - lo), none, none], names=["doc_id", "start", "n", "bucket", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi - lo), pa.nulls(len(d), pa.int32()), none, none], names=_RUN)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The bytes that each wanted run of a text spans."""
     for batch in batches:
         texts, wanted = batch.column("text"), batch.column("runs")
-        doc, start, n, bucket, size, out = [], [], [], [], [], []
+        doc, start, n, place, bucket, size, out = [], [], [], [], [], [], []
         for i in range(batch.num_rows):
             raw = texts[i].as_buffer() if texts[i].is_valid else b""
             view = memoryview(raw)
@@ -143,103 +146,62 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
                 doc.append(batch.column("doc_id")[i].as_py())
                 start.append(r["start"])
                 n.append(r["n"])
+                place.append(r["place"])
                 bucket.append(r["bucket"])
                 size.append(r["size"])
                 out.append(bytes(view[r["start"] : r["start"] + r["n"] + width - 1]))
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(bucket, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "start", "n", "bucket", "size", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(place, pa.int32()), pa.array(bucket, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "start", "n", "place", "bucket", "size", "bytes"])
+
+
+def _grid(buf: np.ndarray, at: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes from each position as big-endian words, zero behind the end of its text; buf is padded."""
+    rows = np.lib.stride_tricks.sliding_window_view(buf, n)[at]
+    short = np.flatnonzero(ends - at < n)
+    if len(short):
+        rows[short] = np.where(np.arange(n) < (ends - at)[short][:, None], rows[short], 0)
+    return rows.view(">u8").astype(U64)
+
+
+def _named(keys: list[np.ndarray]) -> np.ndarray:
+    """Ranks from 1, equal for equal keys; the last key leads."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) + 1
+    return out
 
 
-def suffix_order(buf: np.ndarray, ends: np.ndarray, chosen: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
-    """The chosen suffixes in order of (group, first `width` bytes), by difference cover.
+def suffix_order(buf: np.ndarray, ends: np.ndarray, phase: np.ndarray, chosen: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
+    """The chosen suffixes in order of (group, first V bytes, phase, the rest up to `width` bytes).
 
-    `ends` is where the text of each position ends; suffixes stop there.  `chosen` are
-    positions, `group` their bucket numbers.
+    For each position, `ends` is where its text ends and `phase` its place from the gram,
+    modulo V.  `group` are the buckets of the chosen positions.
     """
     n = len(buf)
     pad = np.concatenate((buf, np.zeros(V + 1, np.uint8)))
-
-    def words(at: np.ndarray) -> np.ndarray:
-        """The first V bytes (and one more, zero) of each position as big-endian words; zero past the end."""
-        grid = at[:, None] + np.arange(32)
-        raw = pad[np.minimum(grid, n)]
-        raw[grid >= np.minimum(ends[at], at + V)[:, None]] = 0
-        return np.ascontiguousarray(raw).view(">u8").astype(U64)
-
-    def dense(keys: list[np.ndarray]) -> np.ndarray:
-        order = np.lexsort(keys)
-        new = np.zeros(len(order), np.int64)
-        for k in keys:
-            k = k[order]
-            new[1:] |= k[1:] != k[:-1]
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(new) + 1
-        return out
-
-    # ranks of the sample, refined V bytes at a time until they cover `width`
-    sample = np.flatnonzero(np.isin(np.arange(n) % V, COVER))
-    rank = np.zeros(n + width + 2 * V, np.int64)
-    if len(sample):
-        w = words(sample)
-        keys = [w[:, 3], w[:, 2], w[:, 1], w[:, 0]]
-        name = dense(keys)
-        covered = V
-        while covered < width:
-            rank[sample] = name
-            step = V * (covered // V)
-            after = np.where(sample + step < ends[sample], rank[np.minimum(sample + step, n)], 0)  # same offset modulo V: in the sample too
-            name = dense([after, name])
-            covered += step
+    cover = np.isin(np.arange(V), COVER)
+    sample = np.flatnonzero(cover[phase])
+    w = _grid(pad, sample, np.minimum(ends[sample], sample + V), 32)
+    name = _named([w[:, 3], w[:, 2], w[:, 1], w[:, 0]])
+    rank = np.zeros(n + 1, np.int64)
+    known = V
+    while known < width:  # double the bytes that the ranks cover; a multiple of V further on is the same phase
         rank[sample] = name
-    # for each pair of offsets modulo V, how far on both are in the sample
-    reach = np.full((V, V), V, np.int64)
-    member = np.isin(np.arange(V), COVER)
-    for i in range(V):
-        for j in range(V):
-            reach[i, j] = next(k for k in range(V) if member[(i + k) % V] and member[(j + k) % V])
-    w = words(chosen)
-    order = np.lexsort((w[:, 3], w[:, 2], w[:, 1], w[:, 0], group))
-    c, g, w = chosen[order], group[order], w[order]
-    new = np.ones(len(c), bool)
-    new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1]).any(axis=1)
-    begin = np.flatnonzero(new)
-    size = np.diff(np.concatenate((begin, [len(c)])))
-    # ties: all suffixes of one offset modulo V compare by one rank, and classes of offsets
-    # are merged by the ranks at their common reach
-    for b, s in zip(begin[size > 1], size[size > 1], strict=True):
-        tie = c[b : b + s]
-        live = lambda x, k: np.where(x + k < ends[x], rank[np.minimum(x + k, n)], 0)
-        offset = tie % V
-        kinds = np.unique(offset)
-        if len(kinds) == 1:
-            c[b : b + s] = tie[np.argsort(live(tie, int(reach[kinds[0], kinds[0]])), kind="stable")]
-            continue
-        done = None
-        for k in kinds:
-            part = tie[offset == k]
-            part = part[np.argsort(live(part, int(reach[k, k])), kind="stable")]
-            done = part if done is None else _merge(done, part, reach, live)
-        c[b : b + s] = done
-    return c
-
-
-def _merge(left: np.ndarray, right: np.ndarray, reach: np.ndarray, live) -> np.ndarray:
-    """Merge two sorted lists of tied suffixes; `right` has one offset modulo V."""
-    k = int(right[0] % V)
-    slot = np.zeros(len(left), np.int64)
-    for o in np.unique(left % V):
-        at = np.flatnonzero(left % V == o)
-        d = int(reach[o, k])
-        slot[at] = np.searchsorted(live(right, d), live(left[at], d), side="left")
-    place = np.maximum.accumulate(slot) + np.arange(len(left))  # what ties beyond `width` may stand in any order
-    out = np.empty(len(left) + len(right), np.int64)
-    taken = np.zeros(len(out), bool)
-    taken[place] = True
-    out[place] = left
-    out[~taken] = right
-    return out
-
-
-def repeats(parts: list[bytes], n: np.ndarray, bucket: np.ndarray, doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        on = sample + known
+        name = _named([np.where(on < ends[sample], rank[np.minimum(on, n)], 0), name])
+        known *= 2
+    rank[sample] = name
+    to_sample = np.array([next(k for k in range(V) if cover[(i + k) % V]) for i in range(V)])
+    on = chosen + to_sample[phase[chosen]]
+    tail = np.where(on < ends[chosen], rank[np.minimum(on, n)], 0)
+    w = _grid(pad, chosen, np.minimum(ends[chosen], chosen + V), 32)
+    return chosen[np.lexsort((tail, phase[chosen], w[:, 3], w[:, 2], w[:, 1], w[:, 0], group))]
+
+
+def repeats(parts: list[bytes], n: np.ndarray, place: np.ndarray, bucket: np.ndarray, doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of the suffixes of these runs that also start earlier in the same bucket."""
     buf = np.frombuffer(b"".join(parts), np.uint8)
     size = n + width - 1
@@ -248,16 +210,18 @@ def repeats(parts: list[bytes], n: np.ndarray, bucket: np.ndarray, doc: np.ndarr
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     chosen = first[owner] + inner
     ends = np.repeat(first + size, size)
-    order = suffix_order(buf, ends, chosen, bucket[owner], width)
+    phase = (np.arange(len(buf)) - np.repeat(first + place, size)) % V
+    order = suffix_order(buf, ends, phase, chosen, bucket[owner], width)
     back = np.searchsorted(chosen, order)
     o, d, s = owner[back], doc[owner[back]], (start[owner] + inner)[back]
     # neighbours that agree on `width` bytes, tested on the bytes themselves
     same = np.zeros(len(order), bool)
     rows = np.arange(1, len(order))
     rows = rows[bucket[o[1:]] == bucket[o[:-1]]]
-    for cut in range(0, len(rows), 1 << 16):
-        r = rows[cut : cut + (1 << 16)]
-        same[r] = (buf[order[r][:, None] + np.arange(width)] == buf[order[r - 1][:, None] + np.arange(width)]).all(axis=1)
+    strings = np.lib.stride_tricks.sliding_window_view(buf, width)
+    for cut in range(0, len(rows), 1 << 14):
+        r = rows[cut : cut + (1 << 14)]
+        same[r] = (strings[order[r]] == strings[order[r - 1]]).all(axis=1)
     gone = later([np.cumsum(~same)], d, s)
     return d[gone], s[gone]
 
@@ -268,20 +232,20 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
     held = 0
 
     def flush() -> pa.RecordBatch:
-        doc, start, n, bucket = (np.array([h[k] for h in hold], np.int64) for k in range(4))
-        d, s = repeats([h[4] for h in hold], n, bucket, doc, start, width)
+        doc, start, n, place, bucket = (np.array([h[k] for h in hold], np.int64) for k in range(5))
+        d, s = repeats([h[5] for h in hold], n, place, bucket, doc, start, width)
         d, lo, hi = merged(d, s, s + width)
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi)], names=["doc_id", "lo", "hi"])
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("doc_id", "start", "n", "bucket", "bytes")]
+        cols = [batch.column(c).to_pylist() for c in ("doc_id", "start", "n", "place", "bucket", "bytes")]
         for row in zip(*cols, strict=True):
-            if hold and held >= BLOCK_BYTES and row[3] != hold[-1][3]:
+            if hold and held >= BLOCK_BYTES and row[4] != hold[-1][4]:
                 yield flush()
                 hold.clear()
                 held = 0
             hold.append(row)
-            held += len(row[4])
+            held += len(row[5])
     if hold:
         yield flush()
 
@@ -360,13 +324,13 @@ def removed_intervals(docs: DataFrame, width: int) -> DataFrame:
     again = found.join(shared, "bucket")
     ranked = kept(again.withColumn("r", F.rank().over(Window.partitionBy("bucket", "content").orderBy("doc_id", "start"))), "ranked")
     copies = ranked.where("r > 1").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).alias("hi"))
-    firsts = ranked.where("r = 1").select("bucket", "content", "doc_id", "start", "n")
+    firsts = ranked.where("r = 1").select("bucket", "content", "doc_id", "start", "n", "place")
     open_ = firsts.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo != hi").select("bucket", "size")
-    wanted = firsts.join(open_, "bucket").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "bucket", "size")).alias("runs"))
+    wanted = firsts.join(open_, "bucket").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "place", "bucket", "size")).alias("runs"))
     wanted = kept(wanted, "wanted")
     few = wanted.count() <= BROADCAST_ROWS and wanted.select(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "runs")
-    cut = kept(texts.mapInArrow(partial(_cut, width=width), "doc_id long, start long, n long, bucket long, size long, bytes binary"), "pieces")
+    cut = kept(texts.mapInArrow(partial(_cut, width=width), "doc_id long, start long, n long, place int, bucket long, size long, bytes binary"), "pieces")
     small = cut.where(F.col("size") <= CROWDED).repartition("bucket").sortWithinPartitions("bucket")
     sorted_ = small.mapInArrow(partial(_sorted_blocks, width=width), "doc_id long, lo long, hi long")
     hashed = cut.where(F.col("size") > CROWDED).mapInArrow(partial(_prefixes, width=width), "doc_id long, lo long, hi long, h1 long, h2 long")
