@@ -7,7 +7,9 @@ costs no Python object per word.  All hashes are 64-bit and wrap around.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ BASE_B = 0xC2B2AE3D27D4EB4F
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 #: Bytes of text that one vector step takes; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -63,6 +65,14 @@ class Poly:
         return (self.sums[hi] - self.sums[lo]) * self.down[lo]
 
 
+def release() -> None:
+    """Give memory that a finished partition used back to the system: workers are used again."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after another, and where each begins and ends. Null: empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -89,6 +99,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
             end = min(batch.num_rows, max(end, at + 1))
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 #: A-Z become a-z; other bytes stay.

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .arrays import steps
 
 #: Words up to this length are remembered, and at most so many of them, in each worker.
-WORD_CHARS, WORDS = 64, 1 << 18
+WORD_CHARS, WORDS = 64, 1 << 17
 #: Remembered answers about token pairs, in each worker.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 #: Bytes of text encoded in one step.
 STEP = 2 << 20
 

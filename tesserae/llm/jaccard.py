@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import BASE_A, BASE_B, U64, flat, lists, mix, shingles, signed, steps
-from .storage import kept
+from .arrays import BASE_A, BASE_B, U64, flat, lists, mix, release, shingles, signed, steps
+from .storage import kept, scratch
 
 #: Rows of a segment compared in one task; larger ones are cut into blocks of this many.
 BLOCK = 1024
@@ -200,6 +200,7 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
             yes[i] = may_link(len(a), len(b), diff, num, den) and linked(a, b, num, den)
         at = pa.array(yes)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(at), batch.column("b").filter(at)], names=["a", "b"])
+    release()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -301,6 +302,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     num, den = threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        return kept(_components(docs, size, num, den), "components", lasting=True)
+
+
+def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     feats = kept(features(docs, size, num, den), "shingles")
     classes, comp = _links(docs, feats, size, num, den)
     rows = feats.select("doc_id", "n_shingles", "s1", "s2")

@@ -2,15 +2,21 @@
 
 Lineage is cut by writing Parquet to the folder in ``spark.checkpoint.dir``, which every
 executor and the driver share, so a lost executor costs a re-read and no recomputation.
+Within `scratch` such tables are deleted at the end; what is to stay is kept as `lasting`.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; a local one only where it names none."""
@@ -24,10 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not lasting and getattr(_open, "paths", None):
+        _open.paths[-1].append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables kept in here go when it ends; nothing that is returned may still read them."""
+    if not hasattr(_open, "paths"):
+        _open.paths = []
+    _open.paths.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in _open.paths.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(hadoop).delete(path, True)

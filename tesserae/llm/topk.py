@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import kept
+from .storage import kept, scratch
 
 #: Pivots per vector length.
 PIVOTS = 16
@@ -113,6 +113,11 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
     non-finite components, and null ids take no part.  Repeated rows are candidates each; a
     query id that repeats asks once, with the least of its vectors.  Other columns are ignored.
     """
+    with scratch(vectors.sparkSession):
+        return kept(_top_k(vectors, is_query, id_col, vec_col, k, scale), "topk", lasting=True)
+
+
+def _top_k(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str, k: int, scale: int) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("raw"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("raw")))
     rows = rows.select("id", "asks", F.size("raw").alias("dim"), whole(F.col("raw"), scale).alias("vec"))

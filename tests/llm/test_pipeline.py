@@ -69,14 +69,16 @@ def test_each_stage_against_brute_force(spark):
                 assert r.decoded_sha256 == hashlib.sha256(before[i].text.encode()).hexdigest()
 
 
-def test_odd_rows(spark):
+def test_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars int, gone string, score double"
     base = "the and of this is that with for was are not from have been which their would there could about "
     rows = [(1, base * 10, "en", "a", 1, "x", 1.0), (2, base * 10, None, None, None, None, None), (2, base * 10, "en", "a", 1, "x", 1.0), (3, None, None, None, 0, None, None), (4, "", "en", "a", 0, "x", 1.0), (None, base + "one more", "en", "a", 1, "x", 1.0), (5, "word " * 50_000, "en", "a", 1, "x", 1.0)]
     for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         docs = df
         for name, stage in cp.STAGES:
-            docs = stage(spark, docs, SF)
+            path = f"{tmp_path}/{len(list(tmp_path.iterdir()))}"
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
             assert name == "tokens" or docs.columns == df.columns
         got = docs.collect()
         assert len(got) <= len(rows)
