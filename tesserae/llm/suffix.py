@@ -19,8 +19,10 @@ one and the same such place form a *run*; only runs are shipped, some 40 bytes o
    next sample positions.  (Ties of different phases differ further on, and their order
    doesn't matter.)  Neighbours that agree on `width` bytes are repeats, and the first of
    each group by (doc_id, start) stays.
-4. A bucket of more than `CROWDED` runs is split by a longer prefix first, the hash of the
-   whole `width` bytes, and needs no sort.
+4. A bucket that exceeds a block is split first.  Its runs are cut into classes of `CLASS`
+   suffixes by their place from the gram; all suffixes of a class share width - CLASS + 1 bytes
+   around the gram, whose hash names the new bucket.  Where even such a bucket exceeds a block,
+   its suffixes differ in the last few bytes only, and the hash of all `width` bytes decides.
 """
 
 from __future__ import annotations
@@ -33,17 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import BASE_A, BASE_B, U64, Poly, flat, mix, signed, steps
-from .storage import kept
+from .arrays import BASE_A, BASE_B, U64, Poly, flat, mix, release, signed, steps
+from .storage import kept, scratch
 
 #: Bytes of the strings that name buckets.
 GRAM = 24
 #: A difference cover: every number modulo V is a difference of two of COVER.
 V, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Runs in a bucket above which it is split before sorting.
-CROWDED = 512
-#: Bytes of text whose buckets are sorted at once.
-BLOCK_BYTES = 1 << 20
+#: Bytes of text whose buckets are sorted at once, and the runs that they hold, about.
+BLOCK_BYTES, CROWDED = 1 << 20, 8192
+#: Suffixes of a class, where a bucket exceeds a block.
+CLASS = 8
 #: Rows that are broadcast at most.
 BROADCAST_ROWS = 200_000
 LOWEST = -(1 << 63)
@@ -248,6 +250,33 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
             held += len(row[5])
     if hold:
         yield flush()
+    hold.clear()
+    release()
+
+
+_PIECE = ["doc_id", "start", "n", "place", "bucket", "content", "bytes"]
+
+
+def _classes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Runs of crowded buckets, cut into classes, with the bucket and the content hash of each piece."""
+    for batch in steps(batches, "bytes"):
+        buf, off = flat(batch.column("bytes"))
+        doc, start, n, place, bucket = (batch.column(c).to_numpy() for c in ("doc_id", "start", "n", "place", "bucket"))
+        # the suffix i of a run stands place - i before the gram; classes count down from the first
+        top, low = place // CLASS, (place - n + 1) // CLASS
+        many = top - low + 1
+        of = np.repeat(np.arange(len(n)), many)
+        c = top[of] - (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+        lo = np.maximum(place[of] - (c * CLASS + CLASS - 1), 0)
+        hi = np.minimum(place[of] - c * CLASS, n[of] - 1)
+        at = off[:-1][of] + lo
+        poly = [Poly(buf, b) for b in (BASE_A, BASE_B)]
+        core = off[:-1][of] + place[of] - c * CLASS  # where the bytes begin that all suffixes of the class have
+        name = mix(poly[0](core, core + width - CLASS + 1) ^ mix(bucket.view(U64)[of] + c.view(U64)))
+        content = mix(poly[1](at, off[:-1][of] + hi + width) + mix(((c << 32) + (place[of] - lo) * CLASS + (hi - lo)).view(U64)))
+        raw = buf.tobytes()
+        out = [raw[a : a + k] for a, k in zip(at.tolist(), (hi - lo + width).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(start[of] + lo), pa.array(hi - lo + 1), pa.array((place[of] - lo).astype(np.int32)), signed(name), signed(content), pa.array(out, pa.binary())], names=_PIECE)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -316,13 +345,17 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def removed_intervals(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, lo, hi): byte intervals to remove, for docs (doc_id, text) without null ids."""
+    with scratch(docs.sparkSession):
+        return kept(_intervals(docs, width), "removed", lasting=True)
+
+
+def _intervals(docs: DataFrame, width: int) -> DataFrame:
     rows = docs.mapInArrow(partial(_runs, width=width), _OUT)
     rows = kept(rows, "runs")
     at_once = rows.where("bucket is null").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
     found = rows.where("bucket is not null")
     shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    again = found.join(shared, "bucket")
-    ranked = kept(again.withColumn("r", F.rank().over(Window.partitionBy("bucket", "content").orderBy("doc_id", "start"))), "ranked")
+    ranked = kept(found.join(shared, "bucket").withColumn("r", F.rank().over(Window.partitionBy("bucket", "content").orderBy("doc_id", "start"))), "ranked")
     copies = ranked.where("r > 1").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).alias("hi"))
     firsts = ranked.where("r = 1").select("bucket", "content", "doc_id", "start", "n", "place")
     open_ = firsts.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo != hi").select("bucket", "size")
@@ -331,12 +364,18 @@ def removed_intervals(docs: DataFrame, width: int) -> DataFrame:
     few = wanted.count() <= BROADCAST_ROWS and wanted.select(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "runs")
     cut = kept(texts.mapInArrow(partial(_cut, width=width), "doc_id long, start long, n long, place int, bucket long, size long, bytes binary"), "pieces")
-    small = cut.where(F.col("size") <= CROWDED).repartition("bucket").sortWithinPartitions("bucket")
+    ended = lambda rows, n, last: rows.select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col(n) + last).alias("hi"))
+    pieces = kept(cut.where(F.col("size") > CROWDED).mapInArrow(partial(_classes, width=width), "doc_id long, start long, n long, place int, bucket long, content long, bytes binary"), "classes")
+    alike = pieces.withColumn("r", F.rank().over(Window.partitionBy("bucket", "content").orderBy("doc_id", "start")))
+    single = alike.where("r = 1")
+    sizes = single.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo != hi").select("bucket", "size")
+    classed = kept(single.join(sizes, "bucket").select("doc_id", "start", "n", "place", "bucket", "size", "bytes"), "classed")
+    small = cut.unionByName(classed).where(F.col("size") <= CROWDED).repartition("bucket").sortWithinPartitions("bucket")
     sorted_ = small.mapInArrow(partial(_sorted_blocks, width=width), "doc_id long, lo long, hi long")
-    hashed = cut.where(F.col("size") > CROWDED).mapInArrow(partial(_prefixes, width=width), "doc_id long, lo long, hi long, h1 long, h2 long")
-    hashed = kept(hashed, "prefixes")
+    hashed = kept(classed.where(F.col("size") > CROWDED).mapInArrow(partial(_prefixes, width=width), "doc_id long, lo long, hi long, h1 long, h2 long"), "prefixes")
     crowd = hashed.where("h1 is not null").withColumn("r", F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "lo"))).where("r > 1")
-    parts = [at_once, copies, sorted_, crowd.select("doc_id", "lo", "hi"), hashed.where("h1 is null").select("doc_id", "lo", "hi")]
+    again = ended(alike.where("r > 1"), "n", width - 1)
+    parts = [at_once, copies, again, sorted_, crowd.select("doc_id", "lo", "hi"), hashed.where("h1 is null").select("doc_id", "lo", "hi")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -45,7 +45,7 @@ def corpus(seed, n=80):
     return rows + [(2000 + k, rows[k][1]) for k in range(10)]
 
 
-@pytest.mark.parametrize(("seed", "crowded"), [(1, 512), (2, 3), (3, 512)])
+@pytest.mark.parametrize(("seed", "crowded"), [(1, 8192), (2, 3), (3, 1), (4, 8192)])
 def test_matches_brute_force(spark, seed, crowded, monkeypatch):
     monkeypatch.setattr(suffix, "CROWDED", crowded)
     rows = corpus(seed)
