@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shared_dir
+from .storage import kept, scratch, shared_dir
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -34,6 +34,8 @@ DATE = "2024-01-01T00:00:00Z"
 #: Bytes of pages in an archive, about; an archive holds one page at least.
 ARCHIVE_BYTES = 16 << 20
 READ_BYTES = 1 << 16
+#: Repeated payloads that are broadcast at most (about 80 bytes each).
+BROADCAST_GROUPS = 200_000
 
 
 class WarcError(ValueError):
@@ -213,12 +215,18 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     of it.  Other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    # groups of one need no reference; what is joined is as many rows as there are repeated payloads
+    with scratch(pages.sparkSession):
+        return _write_all(rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload")), folder, least)
+
+
+def _write_all(rows: DataFrame, folder: str, least: int) -> int:
+    # groups of one need no reference, so there is a row for each payload that repeats
     groups = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "size", "first", F.lit(True).alias("has_first"))
+    groups = kept(groups, "payloads")
+    few = groups.count() <= BROADCAST_GROUPS
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     archives = max(1, min(total["n"], -(-total["b"] // ARCHIVE_BYTES)))
-    known = rows.join(groups, ["digest", "size"], "left").withColumn("has_first", F.coalesce("has_first", F.lit(False)))
+    known = rows.join(F.broadcast(groups) if few else groups, ["digest", "size"], "left").withColumn("has_first", F.coalesce("has_first", F.lit(False)))
     known = known.withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int"))
     dealt = known.repartition(archives, "archive").sortWithinPartitions("archive", F.col("page_id").asc_nulls_last(), "url")
     cols = dealt.select("archive", "page_id", "url", "payload", "digest", "first", "has_first")
