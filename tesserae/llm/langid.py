@@ -7,7 +7,10 @@ best one, the best two, and so on; the set of languages with the best penalised
 is selected, and the prediction is its largest part.
 
 Trigrams are counted on a bounded sample: for each language about `per_lang` documents,
-chosen by a hash of their ids.  Everything else sees every whole text.
+chosen by a hash of their ids.  Everything else sees every whole text.  Every language that
+labelled text names is learned, however few its texts.  Their number is bounded nowhere, so
+counts reach the driver for a block of languages at a time, and texts are cut into smaller
+steps where there are more languages than a block.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import flat, steps
+from .storage import kept, scratch
 
 #: Trigrams are counted in so many cells, a power of two.
 CELLS = 1 << 16
 #: Labelled documents from which a language's trigrams are counted, about; the sample's bound.
 PER_LANG = 2000
-#: Languages learned at most, the most frequent ones: bounds the model.
-LANGS = 64
+#: Languages whose counts are fetched at once; a step of texts is as large as so many languages allow.
+BLOCK = 64
 #: Bytes of a unit, about, and rounds of expectation-maximisation.
 UNIT_BYTES, ROUNDS = 40, 12
 #: Weight of half the logarithm of the number of units for each further language.
@@ -60,41 +64,64 @@ def cells(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "text", STEP):
         buf, off = flat(batch.column("text"))
-        langs = np.array(batch.column("lang").to_pylist(), object)
-        owner = np.repeat(np.arange(len(langs)), np.diff(off))
-        cell = cells(buf, off)
-        for lang in sorted(set(langs)):
-            n = np.bincount(cell[langs[owner] == lang], minlength=CELLS)
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "cell", "n"])
+        number = np.repeat(batch.column("number").to_numpy().astype(np.int64), np.diff(off))
+        both, n = np.unique(number * CELLS + cells(buf, off), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array((both // CELLS).astype(np.int32)), pa.array((both % CELLS).astype(np.int32)), pa.array(n)], names=["number", "cell", "n"])
 
 
 class Model:
-    """Log-likelihoods of trigram cells under each language."""
+    """Log-likelihoods of trigram cells under each language, 256 KB a language."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray) -> None:
+    def __init__(self, langs: list[str]) -> None:
         self.langs = langs
+        self.log_p = np.zeros((CELLS, len(langs)), np.float32)
+
+    def learn(self, first: int, counts: np.ndarray) -> None:
+        """Take the counts (languages x cells) of the languages from number `first` on."""
         smooth = counts + 0.5
-        self.log_p = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32).T.copy()  # cells x langs
+        self.log_p[:, first : first + len(counts)] = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T
+
+    @property
+    def step(self) -> int:
+        """Bytes of text to take at once."""
+        return max(1, STEP * BLOCK // max(BLOCK, len(self.langs)))
+
+    def units(self, cell: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of the units that begin at these places (units x langs), a few bytes at a time."""
+        out = np.zeros((len(begins), len(self.langs)), np.float32)
+        ends = np.append(begins[1:], len(cell))
+        at = 0
+        while at < len(begins):
+            to = max(at + 1, int(np.searchsorted(ends, begins[at] + self.step, side="right")))
+            lo = begins[at]
+            out[at:to] = np.add.reduceat(self.log_p[cell[lo : ends[to - 1]]], begins[at:to] - lo, axis=0)
+            at = to
+        return out
 
 
 def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Learn from rows (doc_id, text, lang) with text and lang; None if there are none."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    sizes = known.groupBy("lang").count().collect()
     if not sizes:
         return None
-    part = F.lit(0.0)
-    for r in sizes:
-        part = F.when(F.col("lang") == r["lang"], min(1.0, per_lang / r["count"])).otherwise(part)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(draw < part).select("text", "lang").mapInArrow(_tally, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
     langs = sorted(r["lang"] for r in sizes)
-    at = {x: i for i, x in enumerate(langs)}
-    counts = np.zeros((len(langs), CELLS))
-    for r in rows:  # at most LANGS * CELLS rows
-        counts[at[r["lang"]], r["cell"]] = r["n"]
-    return Model(langs, counts)
+    part = {r["lang"]: min(1.0, per_lang / r["count"]) for r in sizes}
+    numbers = known.sparkSession.createDataFrame([(x, i, part[x]) for i, x in enumerate(langs)], "lang string, number int, part double")
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    chosen = known.join(F.broadcast(numbers), "lang").where(draw < F.col("part")).select("text", "number")
+    model = Model(langs)
+    with scratch(known.sparkSession):
+        counted = chosen.mapInArrow(_tally, "number int, cell int, n long").groupBy("number", "cell").agg(F.sum("n").alias("n"))
+        if len(langs) > BLOCK:
+            counted = kept(counted, "trigrams")
+        for first in range(0, len(langs), BLOCK):
+            size = min(BLOCK, len(langs) - first)
+            got = counted.where(F.col("number").between(first, first + size - 1)).toArrow()  # at most BLOCK * CELLS rows
+            counts = np.zeros((size, CELLS))
+            counts[got["number"].to_numpy() - first, got["cell"].to_numpy()] = got["n"].to_numpy()
+            model.learn(first, counts)
+    return model
 
 
 def mixtures(like: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +183,7 @@ def mixtures(like: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "text", STEP):
+    for batch in steps(batches, "text", model.step):
         pred, score, langs = infer(batch.column("text"), model)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string()))], names=["doc_id", "lang_pred", "score", "langs"])
 
@@ -183,7 +210,7 @@ def infer(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, list[li
     first[1:] = (slot[1:] != slot[:-1]) | (owner[1:] != owner[:-1])
     begins = np.unique(np.concatenate((begins[first], off[:-1][size > 0])))
     doc = np.searchsorted(off, begins, side="right") - 1
-    like = np.add.reduceat(model.log_p[cells(buf, off)], begins, axis=0) * np.float32(TEMPER) if len(begins) else np.zeros((0, len(model.langs)), np.float32)
+    like = model.units(cells(buf, off), begins) * np.float32(TEMPER)
     share, chosen = mixtures(like, doc, n)
     best = share.argmax(axis=1)
     pred = np.where(letters, best, len(model.langs))
@@ -207,7 +234,7 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, text_col, STEP):
+    for batch in steps(batches, text_col, model.step):
         pred, score, _ = infer(batch.column(text_col), model)
         yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
 

@@ -48,3 +48,17 @@ def test_odd_rows(spark, model):
     assert predict(df.limit(0), model).count() == 0
     assert train(df.limit(0).withColumn("lang", F.lit("a"))) is None
     assert {r.lang_pred for r in predict(df, None).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    words = {f"l{i:02}": [word() for _ in range(12)] for i in range(70)}
+    text = lambda x: " ".join(rng.choice(words[x], 40))
+    # the later a language, the fewer its texts: the last of 70 has one
+    rows = [(i * 100 + k, text(x), x) for i, x in enumerate(words) for k in range(70 - i)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(words) and model.step < 1 << 20
+    asked = ["l00", "l40", "l63", "l64", "l66", "l69"]
+    got = predict(spark.createDataFrame([(i, text(x)) for i, x in enumerate(asked)], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == asked
