@@ -235,15 +235,16 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, text_col, model.step):
-        pred, score, _ = infer(batch.column(text_col), model)
-        yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+        pred, score, langs = infer(batch.column(text_col), model)
+        yield batch.filter(pa.array([p != "und" and (len(x) > 1 or s >= least) for p, s, x in zip(pred, score, langs, strict=True)], pa.bool_()))
 
 
 def identified(docs: DataFrame, model: Model | None, *, text_col: str = "text", least: float = 0.35) -> DataFrame:
     """The rows of docs, with all their columns, whose text has a language.
 
-    Rows go whose prediction is `und` or whose largest language has less than `least` of the
-    text.  Without a model there are no languages, and no rows stay.
+    Rows go whose prediction is `und`, or for which one language is selected that is less than
+    `least` sure.  Where several are selected the text has those, however it is shared among
+    them.  Without a model there are no languages, and no rows stay.
     """
     if model is None:
         return docs.limit(0)

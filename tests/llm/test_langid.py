@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm.langid import held_out, mixtures, predict, train
+from tesserae.llm.langid import held_out, identified, mixtures, predict, train
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,3 +62,15 @@ def test_every_language_is_learned(spark):
     asked = ["l00", "l40", "l63", "l64", "l66", "l69"]
     got = predict(spark.createDataFrame([(i, text(x)) for i, x in enumerate(asked)], "doc_id long, text string"), model).collect()
     assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == asked
+
+
+def test_clean_text_in_three_languages_stays(spark):
+    rng = np.random.default_rng(4)
+    face = {"x": "abcdefg", "y": "hijklmn", "z": "opqrstu"}
+    text = lambda x, n: " ".join("".join(rng.choice(list(face[x]), 7)) for _ in range(n))
+    model = train(spark.createDataFrame([(i * 3 + k, text(x, 300), x) for i in range(5) for k, x in enumerate(face)], "doc_id long, text string, lang string"))
+    rows = [(1, " ".join(text(x, 200) for x in face)), (2, text("x", 200)), (3, "123"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in predict(docs, model).collect()}
+    assert got[1].langs == ["x", "y", "z"] and got[1].score < 0.35
+    assert sorted(r.doc_id for r in identified(docs, model).collect()) == [1, 2]
