@@ -35,6 +35,8 @@ from .storage import kept, scratch
 BLOCK = 1024
 #: Ids that are broadcast at most (8 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 500_000
+#: Shingles of a set at most: a text has fewer than 1 << 31 bytes.
+LARGEST = 1 << 31
 
 
 class Bands:
@@ -106,7 +108,7 @@ def _name(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    bands = Bands(num, den, 1 << 24)
+    bands = Bands(num, den, LARGEST)
     for batch in steps(batches, "text"):
         buf, off = flat(batch.column("text"))
         h, owner, counts = shingles(buf, off, size)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tesserae.llm.jaccard import jaccard_components
@@ -78,3 +79,17 @@ def test_many_near_copies_in_blocks(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 3, 90, 100)
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
+def test_bands_reach_the_largest_sets(monkeypatch, num, den):
+    import tesserae.llm.jaccard as m
+
+    made, plain = [], m.Bands
+    monkeypatch.setattr(m, "Bands", lambda *a: made.append(plain(*a)) or made[-1])
+    list(m._features(iter([]), 3, num, den))
+    (bands,) = made
+    for size in (1000, 1 << 24, 1 << 27, (1 << 31) - 1):
+        (band,) = bands.band(np.array([size]))
+        # linked sets of this band and of the next have a segment more than they can differ in
+        assert bands.segments[band] > (size + size * den // num) * (den - num) // (den + num)
