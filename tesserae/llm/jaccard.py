@@ -29,12 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import BASE_A, BASE_B, U64, flat, lists, mix, release, shingles, signed, steps
-from .storage import kept, scratch
+from .storage import drop, kept, scratch
 
 #: Rows of a segment compared in one task; larger ones are cut into blocks of this many.
 BLOCK = 1024
 #: Ids that are broadcast at most (8 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 500_000
+#: Bits of a bitmap at most, so that a block of them stays small.
+WIDEST = 1 << 16
+#: Classes with more than one HOTth of all rows are fewer than HOT, and are sent to every task.
+HOT = 5_000
 #: Shingles of a set at most: a text has fewer than 1 << 31 bytes.
 LARGEST = 1 << 31
 
@@ -102,9 +106,10 @@ def segment_keys(h: np.ndarray, owner: np.ndarray, counts: np.ndarray, bands: Ba
     return np.concatenate((key, mix(tile[odd].astype(U64) + U64(BASE_A)))), np.concatenate((of, odd))
 
 
-def _name(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first half of each set's identity."""
-    return mix(_per_text(mix(h ^ U64(BASE_A)), counts) + counts.astype(U64))
+def _names(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each set's identity."""
+    n = counts.astype(U64)
+    return mix(_per_text(mix(h ^ U64(BASE_A)), counts) + n), mix(_per_text(mix(h ^ U64(BASE_B)), counts) ^ n)
 
 
 def _features(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -112,8 +117,7 @@ def _features(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int)
     for batch in steps(batches, "text"):
         buf, off = flat(batch.column("text"))
         h, owner, counts = shingles(buf, off, size)
-        s1 = _name(h, counts)
-        s2 = mix(_per_text(mix(h ^ U64(BASE_B)), counts) ^ counts.astype(U64))
+        s1, s2 = _names(h, counts)
         _, first = np.unique(s1, return_index=True)  # equal sets of this step give their keys once
         lead = np.zeros(len(counts), bool)
         lead[first] = True
@@ -129,21 +133,21 @@ def _features(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int)
         again = ~head
         many = again.copy()
         many[:-1] |= again[1:]
-        cols = [batch.column("doc_id"), pa.array(counts), signed(s1), signed(s2)]
+        cols = [batch.column("doc_id"), batch.column("row"), pa.array(counts), signed(s1), signed(s2)]
         for chosen in (head, many):
             k, o = key[chosen], of[chosen]
             turn = np.argsort(o, kind="stable")
             cols.append(lists(signed(k[turn]), np.bincount(o, minlength=len(counts))))
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "s1", "s2", "once", "many"])
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_shingles", "s1", "s2", "once", "many"])
 
 
 def features(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, once, many) for each row of docs (doc_id, text).
+    """(doc_id, row, n_shingles, s1, s2, once, many) for each row of docs (doc_id, row, text).
 
     s1 and s2 identify the set.  `once` holds the segment keys that were met first with this
     row in its step, `many` all keys that the step met more than once.
     """
-    return docs.mapInArrow(partial(_features, size=size, num=num, den=den), "doc_id long, n_shingles long, s1 long, s2 long, once array<long>, many array<long>")
+    return docs.mapInArrow(partial(_features, size=size, num=num, den=den), "doc_id long, row long, n_shingles long, s1 long, s2 long, once array<long>, many array<long>")
 
 
 def _bits(h: np.ndarray, width: int) -> np.ndarray:
@@ -153,9 +157,9 @@ def _bits(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def width_of(n: int) -> int:
-    """Bits of a bitmap: by powers of four, so neighbouring bands mostly share one width."""
+    """Bits of a bitmap: by powers of four, so neighbouring bands mostly share one width; WIDEST bound weaker."""
     w = 256
-    while w < 2 * n:
+    while w < 2 * n and w < WIDEST:
         w *= 4
     return w
 
@@ -165,13 +169,14 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         buf, off = flat(batch.column("text"))
         h, _, counts = shingles(buf, off, size)
         at = np.concatenate(([0], np.cumsum(counts)))
-        # a doc_id that repeats with other texts must give the text whose set is meant
-        mine = np.flatnonzero(_name(h, counts).view(np.int64) == batch.column("s1").to_numpy())
+        # rows whose ids and texts hash alike: only the text whose set is meant
+        s1, s2 = (x.view(np.int64) for x in _names(h, counts))
+        mine = np.flatnonzero((s1 == batch.column("s1").to_numpy()) & (s2 == batch.column("s2").to_numpy()))
         sets = [h[at[i] : at[i + 1]] for i in mine]
         of = pa.array(mine)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rep").take(of), batch.column("s1").take(of), pa.array(counts[mine]), pa.array([_bits(x, width_of(len(x))).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
-            names=["rep", "s1", "n", "bits", "items"],
+            [batch.column("node").take(of), batch.column("times").take(of), pa.array(counts[mine]), pa.array([_bits(x, width_of(len(x))).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+            names=["node", "times", "n", "bits", "items"],
         )
 
 
@@ -191,43 +196,63 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _pass(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that their bitmaps let pass."""
     for batch in batches:
-        cols = [batch.column(c) for c in ("bits_a", "bits_b", "items_a", "items_b")]
+        bits = [batch.column(c) for c in ("bits_a", "bits_b")]
+        na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
         yes = np.zeros(batch.num_rows, bool)
         for i in range(batch.num_rows):
-            xa, xb, a, b = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(cols, (np.uint8, np.uint8, U64, U64), strict=True))
+            xa, xb = (np.frombuffer(c[i].as_buffer(), np.uint8) for c in bits)
             to = min(len(xa), len(xb))
-            diff = int(np.bitwise_count(fold(xa, to) ^ fold(xb, to)).sum())
-            yes[i] = may_link(len(a), len(b), diff, num, den) and linked(a, b, num, den)
+            yes[i] = may_link(int(na[i]), int(nb[i]), int(np.bitwise_count(fold(xa, to) ^ fold(xb, to)).sum()), num, den)
         at = pa.array(yes)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(at), batch.column("b").filter(at)], names=["a", "b"])
     release()
 
 
+def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that link, by their sorted items."""
+    for batch in batches:
+        items = [batch.column(c) for c in ("items_a", "items_b")]
+        at = pa.array([linked(*(np.frombuffer(c[i].as_buffer(), U64) for c in items), num, den) for i in range(batch.num_rows)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(at), batch.column("b").filter(at)], names=["a", "b"])
+    release()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Pairs (a, b) of nodes with these columns of both sets."""
+    side = lambda x: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _passing(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that bitmaps let pass; only bitmaps are sent."""
+    return _with_sets(pairs, sets, ("n", "bits")).mapInArrow(partial(_pass, num=num, den=den), "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of representatives that link."""
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("items").alias(f"items_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(partial(_verify, num=num, den=den), "a long, b long")
+    """Those of the pairs (a, b) that link."""
+    return _with_sets(pairs, sets, ("items",)).mapInArrow(partial(_verify, num=num, den=den), "a long, b long")
 
 
 def _tile(table: pa.Table, num: int, den: int) -> pa.Table:
     """Pairs of one block pair, across components, that their bitmaps let pass."""
-    rep, comp, n, half = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "half"))
+    node, comp, n, half = (table.column(c).to_numpy() for c in ("node", "comp", "n", "half"))
     bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
     to = min((len(x) for x in bits), default=0)
     m = np.stack([fold(x, to) for x in bits]) if bits else np.zeros((0, 1), np.uint8)
     out_a, out_b = [], []
-    for i in range(len(rep)):
-        later = np.arange(i + 1, len(rep))
+    for i in range(len(node)):
+        later = np.arange(i + 1, len(node))
         later = later[(comp[later] != comp[i]) & ((half[later] != half[i]) | (half[i] == 2))]
         if not len(later):
             continue
         diff = np.bitwise_count(m[later] ^ m[i]).sum(axis=1, dtype=np.int64)
         most = (n[later] + n[i] - diff) // 2
         good = later[den * most >= num * (n[later] + n[i] - most)]
-        out_a += [np.minimum(rep[good], rep[i])]
-        out_b += [np.maximum(rep[good], rep[i])]
+        out_a += [np.minimum(node[good], node[i])]
+        out_b += [np.maximum(node[good], node[i])]
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return pa.table({"a": cat(out_a), "b": cat(out_b)})
 
@@ -248,6 +273,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = kept(small, "edges")
         total = F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h"))
         same = e.agg(total.alias("x")).first() == after.agg(total.alias("x")).first()
+        drop(e)
         e = after
         if same:
             break
@@ -255,39 +281,114 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def _links(docs: DataFrame, feats: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
-    """Class representatives (s1, s2, n_shingles, rep, copies), and their components, if any link."""
-    classes = feats.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+def _segments(feats: DataFrame) -> DataFrame:
+    """(key, s1) of the segments that more than one set has."""
     first = feats.select(F.explode("once").alias("key"), "s1")
     crowd = first.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").select("key", "s1")
-    active = kept(crowd.unionByName(feats.select(F.explode("many").alias("key"), "s1")).distinct(), "segments")
+    return crowd.unionByName(feats.select(F.explode("many").alias("key"), "s1")).distinct()
+
+
+def _load(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, n, bits, items): the sets of the wanted classes, one row each."""
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "row").select("node", "s1", "s2", "times", "text")
+    sets = kept(texts.mapInArrow(partial(_sets, size=size), "node long, times long, n long, bits binary, items binary"), "sets")
+    if wanted.where("times > 1").limit(1).count():  # repeated rows give their set each: only these are shuffled
+        again = kept(sets.where("times = 1").unionByName(sets.where("times > 1").dropDuplicates(["node"])), "sets")
+        drop(sets)
+        sets = again
+    return sets.drop("times")
+
+
+def _open_segments(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, node, comp, rows) of segments whose members aren't in one component yet.
+
+    Texts that are alike but not linked share many segments; of segments with the same
+    members, told by two hash sums, one stays.
+    """
+    placed = kept(members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    told = placed.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")
+    )
+    split = told.where("lo != hi").groupBy("rows", "h1", "h2").agg(F.min("key").alias("key")).select("key", "rows")
+    return placed.join(split, "key")
+
+
+def _linked_classes(docs: DataFrame, feats: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame] | None:
+    """The classes that may link, (node, s1, s2, n_shingles, low), and their components (node, comp)."""
+    active = kept(_segments(feats), "segments")
+    drop(feats)
     names = active.select("s1").distinct()
-    wanted = kept(classes.join(names, "s1", "left_semi").select("rep", "s1"), "wanted")
-    n = wanted.count()
-    if not n:
-        return classes, None
-    texts = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, docs["doc_id"] == wanted["rep"]).select("rep", "s1", "text")
-    sets = kept(texts.mapInArrow(partial(_sets, size=size), "rep long, s1 long, n long, bits binary, items binary").dropDuplicates(["rep", "s1"]), "sets")
-    members = active.join(sets.select("s1", "rep"), "s1").select("key", "rep")
-    hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    star = members.join(hubs, "key").where("rep != hub").groupBy("rep").agg(F.min("hub").alias("hub"))
-    edges = kept(_verified(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")), sets, num, den), "links")
+    # the number of a class is drawn once and written
+    wanted = kept(classes.join(names, "s1", "left_semi").select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n_shingles", "low", F.col("first.row").alias("row"), "times"), "wanted")
+    if not wanted.limit(1).count():
+        return None
+    sets = _load(docs, wanted, size)
+    members = kept(active.join(wanted.select("s1", "node"), "s1").select("key", "node"), "members")
+    drop(active)
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    star = kept(members.join(hubs, "key").where("node != hub").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")), "star")
+    likely = kept(_passing(star, sets, num, den), "likely")
+    edges = kept(_verified(likely, sets, num, den), "links")
     comp = kept(components(edges), "components")
-    # what is left: segments whose members are not yet in one component
-    placed = members.join(comp, members["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo != hi")
+    open_ = kept(_open_segments(members, comp), "open")
+    drop(members)
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    open_ = placed.join(split.select("key", blocks.alias("nb")), "key").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    dealt = open_.withColumn("nb", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    spread = open_.select("*", other.alias("with")).select("key", "rep", "comp", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1).alias("half"))
-    tiles = spread.join(sets.select("rep", "n", "bits"), "rep")
+    spread = dealt.select("*", other.alias("with")).select(
+        "key", "node", "comp", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1).alias("half")
+    )
+    tiles = spread.join(sets.select("node", "n", "bits"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         return _tile(table, num, den)
 
-    pairs = tiles.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    pairs = kept(tiles.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "likely")
     more = kept(_verified(pairs, sets, num, den), "links")
-    return classes, components(edges.unionByName(more))
+    return wanted, kept(components(edges.unionByName(more)), "components")
+
+
+def _classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, n_shingles, s1, s2), and what is to be known of their classes.
+
+    The second table has a row for each class of equal sets that has more than one row or is
+    linked: (s1, s2, n_shingles, copies, component_id, keeper), the keeper being the row of
+    least id in the component, null ids last.
+    """
+    feats = kept(features(docs, size, num, den), "shingles")
+    rows = kept(feats.select("doc_id", "row", "n_shingles", "s1", "s2"), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    # how many rows are the first one: equal ids and texts
+    by_row = rows.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles", "doc_id", "row").agg(F.count(F.lit(1)).alias("times"))
+    classes = kept(
+        by_row.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("low"), F.sum("times").alias("copies"), F.min(order).alias("first"), F.min_by("times", order).alias("times")), "classes"
+    )
+    found = _linked_classes(docs, feats, classes, size, num, den)
+    names = ["s1", "s2", "n_shingles"]
+    if found is None:
+        known = classes.where("copies > 1").select(*names, "copies", F.col("low").alias("component_id"), F.col("first.row").alias("keeper"))
+        return rows, kept(known, "known")
+    wanted, comp = found
+    placed = comp.join(wanted, "node").join(classes.select(*names, "first", "copies"), names)
+    heads = placed.groupBy("comp").agg(F.min("low").alias("component_id"), F.min("first").alias("head"))
+    joined = placed.join(heads, "comp").select(*names, "copies", "component_id", F.col("head.row").alias("keeper"))
+    alone = classes.where("copies > 1").join(joined.select(*names), names, "left_anti").select(*names, "copies", F.col("low").alias("component_id"), F.col("first.row").alias("keeper"))
+    return rows, kept(joined.unionByName(alone), "known")
+
+
+def _told(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with component_id and keeper, null where the class is of one row and has no links."""
+    names = ["s1", "s2", "n_shingles"]
+    total = rows.count()
+    few = F.broadcast(known.where(F.col("copies") * HOT > total).drop("copies"))
+    rest = known.where(F.col("copies") * HOT <= total).drop("copies")
+    return rows.join(few, names).unionByName(rows.join(few.select(*names), names, "left_anti").join(rest, names, "left"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("row"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, threshold: tuple[int, int] = (90, 100)) -> DataFrame:
@@ -298,21 +399,35 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     0x09-0x0D, with A-Z lower-cased.  component_id is the smallest doc_id reachable.
 
     Null or empty texts, and texts of white space, have no shingles and link with nothing.
-    A text of fewer than `size` words has its whole sequence as its one shingle.  Repeated
-    rows each give a row.  A null doc_id is carried along: such rows never lend their id to a
-    component unless all of its ids are null.  Other columns are ignored.
+    A text of fewer than `size` words has its whole sequence as its one shingle; a very long
+    text is one set like any other.  Repeated rows each give a row.  Rows are compared as
+    rows, whatever their ids: texts under one id, or under null, link only if they are alike.
+    A component's id is null if all of its ids are, and a null id otherwise never lends itself
+    to one.  An empty table gives an empty one.  Other columns are ignored.
     """
     num, den = threshold
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with scratch(docs.sparkSession):
-        return kept(_components(docs, size, num, den), "components", lasting=True)
+        told = _told(*_classes(_rows(docs, id_col, text_col), size, num, den))
+        return kept(told.select("doc_id", "n_shingles", F.when(F.col("keeper").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "components", lasting=True)
 
 
-def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    feats = kept(features(docs, size, num, den), "shingles")
-    classes, comp = _links(docs, feats, size, num, den)
-    rows = feats.select("doc_id", "n_shingles", "s1", "s2")
-    out = rows.join(classes.where("copies > 1").select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    if comp is None:
-        return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-    return out.join(comp, out["rep"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of docs, with all their columns, one for each component of `jaccard_components`.
+
+    The row of smallest id stays, a null id last; of rows with the same id the one whose hash
+    with its text is least, and of rows that repeat both id and text one.  Texts without words are
+    alike to nothing and stay.
+    """
+    num, den = threshold
+    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    with scratch(docs.sparkSession):
+        told = _told(*_classes(_rows(docs, id_col, text_col), size, num, den))
+        out = told.where("keeper is not null").groupBy("row").agg(F.min("keeper").alias("keeper"), F.count(F.lit(1)).alias("times"))
+        marked = kept(out.where("row != keeper or times > 1").select(F.col("row").alias("__row"), (F.col("row") == F.col("keeper")).alias("__stays")), "marked", lasting=True)
+        n = marked.groupBy("__stays").count().collect()
+    sent = F.broadcast(marked) if sum(r["count"] for r in n) <= BROADCAST_IDS else marked
+    of = docs.withColumn("__row", row)
+    out = of.join(sent, "__row", "left_anti")
+    if any(r["__stays"] for r in n):  # rows that are there several times: one of each
+        out = out.unionByName(of.join(marked.where("__stays").select("__row"), "__row").dropDuplicates(["__row"]))
+    return out.select(*docs.columns)
