@@ -3,6 +3,9 @@
 A byte goes if it lies in a `width`-byte string that also starts earlier in the corpus
 (smaller doc_id, or the same document further left).
 
+Places.  A row is (doc_id, sub): sub is 0 for an id that one row has, else a hash of the row's
+text, so texts under one id, or under null, are different places.
+
 Buckets.  A suffix belongs to the bucket named by the least-hashing `GRAM`-byte string among
 its first `width` bytes, the leftmost of equals.  Suffixes that agree on `width` bytes have
 the same bucket, so buckets can be sorted one at a time, anywhere.  Consecutive suffixes with
@@ -18,11 +21,15 @@ one and the same such place form a *run*; only runs are shipped, some 40 bytes o
    by bucket and their first V bytes, and ties of one phase are resolved by the ranks of the
    next sample positions.  (Ties of different phases differ further on, and their order
    doesn't matter.)  Neighbours that agree on `width` bytes are repeats, and the first of
-   each group by (doc_id, start) stays.
+   each group by (doc_id, sub, start) stays.
 4. A bucket that exceeds a block is split first.  Its runs are cut into classes of `CLASS`
    suffixes by their place from the gram; all suffixes of a class share width - CLASS + 1 bytes
    around the gram, whose hash names the new bucket.  Where even such a bucket exceeds a block,
-   its suffixes differ in the last few bytes only, and the hash of all `width` bytes decides.
+   its suffixes differ in CLASS - 1 bytes at most: those bytes are the key of a last, radix
+   step, by which the first of each group is found without a sort.
+
+What is first in a group is always a minimum that tasks combine before the shuffle; groups are
+joined to their first by a join that adaptive execution splits, and no window holds a group.
 """
 
 from __future__ import annotations
@@ -32,18 +39,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE_A, BASE_B, U64, Poly, flat, mix, release, signed, steps
-from .storage import kept, scratch
+from .storage import drop, kept, scratch
 
 #: Bytes of the strings that name buckets.
 GRAM = 24
 #: A difference cover: every number modulo V is a difference of two of COVER.
 V, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Bytes of text whose buckets are sorted at once, and the runs that they hold, about.
-BLOCK_BYTES, CROWDED = 1 << 20, 8192
+BLOCK_BYTES, CROWDED = 1 << 20, 2048
 #: Suffixes of a class, where a bucket exceeds a block.
 CLASS = 8
 #: Rows that are broadcast at most.
@@ -85,6 +92,16 @@ def runs(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ...]
     return text[lo], lo - off[text[lo]], hi - lo + 1, p - lo, gram[p], content
 
 
+def ranks(doc: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each place (doc, sub), equal for equal ones, and where each rank is first met."""
+    order = np.lexsort((sub, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (sub[order][1:] != sub[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out, order[new]
+
+
 def later(groups: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Marks what is not the first by (doc, start) among rows alike in all of `groups`."""
     order = np.lexsort((start, doc, *groups))
@@ -117,8 +134,8 @@ def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return doc[at], lo[at], reach[last] - lift[at]
 
 
-_RUN = ["doc_id", "start", "n", "place", "bucket", "content"]
-_OUT = "doc_id long, start long, n long, place int, bucket long, content long"
+_RUN = ["doc_id", "sub", "start", "n", "place", "bucket", "content"]
+_OUT = "doc_id long, sub long, start long, n long, place int, bucket long, content long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -126,33 +143,34 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     for batch in steps(batches, "text"):
         buf, off = flat(batch.column("text"))
         text, start, n, place, bucket, content = runs(buf, off, width)
-        doc = batch.column("doc_id").to_numpy()[text]
+        ids, subs = (batch.column(c).to_numpy() for c in ("doc_id", "sub"))
+        rank, at = ranks(ids, subs)
+        doc = rank[text]
         gone = later([content, bucket], doc, start)
         d, lo, hi = merged(doc[gone], start[gone], (start + n)[gone] + width - 1)
         stay = ~gone
-        none = pa.nulls(len(d), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(doc[stay]), pa.array(start[stay]), pa.array(n[stay]), pa.array(place[stay].astype(np.int32)), signed(bucket[stay]), signed(content[stay])], names=_RUN)
+        t = text[stay]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[t]), pa.array(subs[t]), pa.array(start[stay]), pa.array(n[stay]), pa.array(place[stay].astype(np.int32)), signed(bucket[stay]), signed(content[stay])], names=_RUN)
         if len(d):
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi - lo), pa.nulls(len(d), pa.int32()), none, none], names=_RUN)
+            none = pa.nulls(len(d), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at[d]]), pa.array(subs[at[d]]), pa.array(lo), pa.array(hi - lo), pa.nulls(len(d), pa.int32()), none, none], names=_RUN)
+
+
+_CUT = "doc_id long, sub long, start long, n long, place int, bucket long, size long, bytes binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The bytes that each wanted run of a text spans."""
     for batch in batches:
-        texts, wanted = batch.column("text"), batch.column("runs")
-        doc, start, n, place, bucket, size, out = [], [], [], [], [], [], []
+        texts, wanted, ids, subs = (batch.column(c) for c in ("text", "runs", "doc_id", "sub"))
+        rows = []
         for i in range(batch.num_rows):
-            raw = texts[i].as_buffer() if texts[i].is_valid else b""
-            view = memoryview(raw)
-            for r in wanted[i].as_py():
-                doc.append(batch.column("doc_id")[i].as_py())
-                start.append(r["start"])
-                n.append(r["n"])
-                place.append(r["place"])
-                bucket.append(r["bucket"])
-                size.append(r["size"])
-                out.append(bytes(view[r["start"] : r["start"] + r["n"] + width - 1]))
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(place, pa.int32()), pa.array(bucket, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "start", "n", "place", "bucket", "size", "bytes"])
+            view = memoryview(texts[i].as_buffer() if texts[i].is_valid else b"")
+            place = ids[i].as_py(), subs[i].as_py()
+            rows += [(*place, r["start"], r["n"], r["place"], r["bucket"], r["size"], bytes(view[r["start"] : r["start"] + r["n"] + width - 1])) for r in wanted[i].as_py()]
+        kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2 + [pa.binary()]
+        cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "sub", "start", "n", "place", "bucket", "size", "bytes"])
 
 
 def _grid(buf: np.ndarray, at: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -228,40 +246,44 @@ def repeats(parts: list[bytes], n: np.ndarray, place: np.ndarray, bucket: np.nda
     return d[gone], s[gone]
 
 
+_GONE = "doc_id long, sub long, lo long, hi long"
+
+
 def _sorted_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Sort the suffixes of whole buckets, as many at a time as fit a block."""
     hold: list[tuple] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
-        doc, start, n, place, bucket = (np.array([h[k] for h in hold], np.int64) for k in range(5))
-        d, s = repeats([h[5] for h in hold], n, place, bucket, doc, start, width)
+        doc, sub, start, n, place, bucket = (np.array([h[k] for h in hold], np.int64) for k in range(6))
+        rank, at = ranks(doc, sub)
+        d, s = repeats([h[6] for h in hold], n, place, bucket, rank, start, width)
         d, lo, hi = merged(d, s, s + width)
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi)], names=["doc_id", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[at[d]]), pa.array(sub[at[d]]), pa.array(lo), pa.array(hi)], names=["doc_id", "sub", "lo", "hi"])
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("doc_id", "start", "n", "place", "bucket", "bytes")]
+        cols = [batch.column(c).to_pylist() for c in ("doc_id", "sub", "start", "n", "place", "bucket", "bytes")]
         for row in zip(*cols, strict=True):
-            if hold and held >= BLOCK_BYTES and row[4] != hold[-1][4]:
+            if hold and held >= BLOCK_BYTES and row[5] != hold[-1][5]:
                 yield flush()
                 hold.clear()
                 held = 0
             hold.append(row)
-            held += len(row[5])
+            held += len(row[6])
     if hold:
         yield flush()
     hold.clear()
     release()
 
 
-_PIECE = ["doc_id", "start", "n", "place", "bucket", "content", "bytes"]
+_PIECE = "doc_id long, sub long, start long, n long, place int, bucket long, content long, bytes binary"
 
 
 def _classes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Runs of crowded buckets, cut into classes, with the bucket and the content hash of each piece."""
     for batch in steps(batches, "bytes"):
         buf, off = flat(batch.column("bytes"))
-        doc, start, n, place, bucket = (batch.column(c).to_numpy() for c in ("doc_id", "start", "n", "place", "bucket"))
+        doc, sub, start, n, place, bucket = (batch.column(c).to_numpy() for c in ("doc_id", "sub", "start", "n", "place", "bucket"))
         # the suffix i of a run stands place - i before the gram; classes count down from the first
         top, low = place // CLASS, (place - n + 1) // CLASS
         many = top - low + 1
@@ -276,25 +298,38 @@ def _classes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         content = mix(poly[1](at, off[:-1][of] + hi + width) + mix(((c << 32) + (place[of] - lo) * CLASS + (hi - lo)).view(U64)))
         raw = buf.tobytes()
         out = [raw[a : a + k] for a, k in zip(at.tolist(), (hi - lo + width).tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(start[of] + lo), pa.array(hi - lo + 1), pa.array((place[of] - lo).astype(np.int32)), signed(name), signed(content), pa.array(out, pa.binary())], names=_PIECE)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[of]), pa.array(sub[of]), pa.array(start[of] + lo), pa.array(hi - lo + 1), pa.array((place[of] - lo).astype(np.int32)), signed(name), signed(content), pa.array(out, pa.binary())],
+            names=["doc_id", "sub", "start", "n", "place", "bucket", "content", "bytes"],
+        )
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The hash of the whole prefix of each suffix of crowded buckets; repeats within a step go at once."""
+def _edges(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """What tells the suffixes of a crowded class apart: the bytes beside the core that all share.
+
+    Repeats within a step go at once (without `edge`).
+    """
+    names = ["doc_id", "sub", "lo", "hi", "bucket", "edge"]
     for batch in steps(batches, "bytes"):
         buf, off = flat(batch.column("bytes"))
-        doc, start, n = (batch.column(c).to_numpy() for c in ("doc_id", "start", "n"))
+        doc, sub, start, n, place, bucket = (batch.column(c).to_numpy() for c in ("doc_id", "sub", "start", "n", "place", "bucket"))
         owner = np.repeat(np.arange(len(n)), n)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        before = (place % CLASS)[owner] - inner  # bytes of the suffix in front of the core
         at = off[:-1][owner] + inner
-        h1, h2 = (mix(Poly(buf, b)(at, at + width)) for b in (BASE_A, BASE_B))
-        d, s = doc[owner], start[owner] + inner
-        gone = later([h1, h2], d, s)
-        md, lo, hi = merged(d[gone], s[gone], s[gone] + width)
-        none = pa.nulls(len(md), pa.int64())
+        edge = before.astype(U64)
+        for k in range(CLASS - 1):  # the bytes in front of the core, then those behind it
+            skip = np.where(k >= before, width - CLASS + 1, 0)
+            edge = (edge << U64(8)) | buf[at + k + skip].astype(U64)
+        rank, first = ranks(doc, sub)
+        r, s, b = rank[owner], start[owner] + inner, bucket[owner]
+        gone = later([edge, b], r, s)
+        d, lo, hi = merged(r[gone], s[gone], s[gone] + width)
         stay = ~gone
-        yield pa.RecordBatch.from_arrays([pa.array(d[stay]), pa.array(s[stay]), pa.array(s[stay] + width), signed(h1[stay]), signed(h2[stay])], names=["doc_id", "lo", "hi", "h1", "h2"])
-        yield pa.RecordBatch.from_arrays([pa.array(md), pa.array(lo), pa.array(hi), none, none], names=["doc_id", "lo", "hi", "h1", "h2"])
+        o = owner[stay]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[o]), pa.array(sub[o]), pa.array(s[stay]), pa.array(s[stay] + width), pa.array(b[stay]), signed(edge[stay])], names=names)
+        none = pa.nulls(len(d), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first[d]]), pa.array(sub[first[d]]), pa.array(lo), pa.array(hi), none, none], names=names)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,66 +354,103 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lost.append(sum(hi - lo for lo, hi in found))
             spans.append([{"lo": lo, "hi": hi} for lo, hi in found])
             out.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([doc, pa.array(size, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(out, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        kinds = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([doc, pa.array(size, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, kinds), pa.array(out, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
     """Cut the texts; a character that loses some of its bytes goes whole. Then drop the intervals."""
     for batch in batches:
-        names = batch.schema.names
-        part = pa.RecordBatch.from_arrays([batch.column(c) for c in ("__key", text_col, "__gone")], names=["doc_id", "text", "gone"])
+        part = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col), batch.column("__gone")], names=["doc_id", "text", "gone"])
         out = next(_apply(iter([part])))
         texts = pa.array([None if not t.is_valid else k.as_py().decode("utf-8", "ignore") for t, k in zip(batch.column(text_col), out.column("kept"), strict=True)], batch.column(text_col).type)
-        keep = [c for c in names if c not in ("__key", "__gone")]
+        keep = [c for c in batch.schema.names if c != "__gone"]
         yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(c) for c in keep], names=keep)
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with its places, (__doc, __sub): only ids that several rows have are told apart by text."""
+    docs = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)))
+    again = kept(docs.groupBy("__doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__doc", F.lit(True).alias("__again")), "repeated", lasting=True)
+    n = again.count()
+    if not n:
+        return docs.withColumn("__sub", F.lit(0).cast("long"))
+    told = docs.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, "__doc", "left")
+    return told.withColumn("__sub", F.when(F.col("__again"), F.xxhash64(F.col(id_col).isNull(), F.col(text_col).cast("string"))).otherwise(F.lit(0).cast("long"))).drop("__again")
+
+
+def _with_gone(placed: DataFrame, text_col: str, width: int) -> DataFrame:
+    """The rows with __gone, the intervals to remove."""
+    if width < GRAM:
+        raise ValueError(f"width must be at least {GRAM}")
+    gone = removed_intervals(placed.select(F.col("__doc").alias("doc_id"), F.col("__sub").alias("sub"), F.col(text_col).cast("string").alias("text")), width)
+    listed = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("sub").alias("__sub")).agg(F.collect_list(F.struct("lo", "hi")).alias("__gone"))
+    return placed.join(listed, ["__doc", "__sub"], "left")
+
+
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, their texts without repeated passages.
 
-    The same bytes go as in `repeated_passages`; null texts stay null.
+    The same bytes go as in `repeated_passages`, with its rules for nulls, repeats and ties; null
+    texts stay null, and an empty table gives an empty one.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    gone = removed_intervals(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), width).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_list(F.struct("lo", "hi")).alias("__gone"))
-    return docs.withColumn("__key", key).join(gone, "__key", "left").mapInArrow(partial(_rewrite, text_col=text_col), docs.schema)
+    rows = _with_gone(_placed(docs, id_col, text_col), text_col, width).select(*docs.columns, "__gone")
+    return rows.mapInArrow(partial(_rewrite, text_col=text_col), docs.schema)
 
 
 def removed_intervals(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, lo, hi): byte intervals to remove, for docs (doc_id, text) without null ids."""
+    """(doc_id, sub, lo, hi): byte intervals to remove, for docs (doc_id, sub, text) without null places."""
     with scratch(docs.sparkSession):
         return kept(_intervals(docs, width), "removed", lasting=True)
 
 
+def _firsts(rows: DataFrame, group: list[str], place: list[str]) -> DataFrame:
+    """For each group its first row's place, and how many rows it has."""
+    return rows.groupBy(*group).agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c"))
+
+
+def _is_first(place: list[str]) -> Column:
+    return F.struct(*place) == F.struct(*[F.col(f"first.{p}").alias(p) for p in place])
+
+
 def _intervals(docs: DataFrame, width: int) -> DataFrame:
-    rows = docs.mapInArrow(partial(_runs, width=width), _OUT)
-    rows = kept(rows, "runs")
-    at_once = rows.where("bucket is null").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
+    place = ["doc_id", "sub", "start"]
+    span = lambda rows, last: rows.select("doc_id", "sub", F.col("start").alias("lo"), (F.col("start") + F.col("n") + last).alias("hi"))
+    rows = kept(docs.mapInArrow(partial(_runs, width=width), _OUT), "runs")
+    done = [kept(span(rows.where("bucket is null"), 0), "gone")]
     found = rows.where("bucket is not null")
     shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    ranked = kept(found.join(shared, "bucket").withColumn("r", F.rank().over(Window.partitionBy("bucket", "content").orderBy("doc_id", "start"))), "ranked")
-    copies = ranked.where("r > 1").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).alias("hi"))
-    firsts = ranked.where("r = 1").select("bucket", "content", "doc_id", "start", "n", "place")
-    open_ = firsts.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo != hi").select("bucket", "size")
-    wanted = firsts.join(open_, "bucket").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "place", "bucket", "size")).alias("runs"))
-    wanted = kept(wanted, "wanted")
+    common = kept(found.join(shared, "bucket"), "common")
+    drop(rows)
+    firsts = kept(common.groupBy("bucket", "content").agg(F.min(F.struct(*place, "n", "place")).alias("first"), F.count(F.lit(1)).alias("c")), "firsts")
+    copies = common.join(firsts.where("c > 1").drop("c"), ["bucket", "content"]).where(~_is_first(place))
+    done.append(kept(span(copies, width - 1), "gone"))
+    drop(common)
+    open_ = firsts.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    leads = firsts.join(open_, "bucket").select("first.*", "bucket", "size")
+    wanted = kept(leads.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "n", "place", "bucket", "size")).alias("runs")), "wanted")
+    drop(firsts)
     few = wanted.count() <= BROADCAST_ROWS and wanted.select(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "runs")
-    cut = kept(texts.mapInArrow(partial(_cut, width=width), "doc_id long, start long, n long, place int, bucket long, size long, bytes binary"), "pieces")
-    ended = lambda rows, n, last: rows.select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col(n) + last).alias("hi"))
-    pieces = kept(cut.where(F.col("size") > CROWDED).mapInArrow(partial(_classes, width=width), "doc_id long, start long, n long, place int, bucket long, content long, bytes binary"), "classes")
-    alike = pieces.withColumn("r", F.rank().over(Window.partitionBy("bucket", "content").orderBy("doc_id", "start")))
-    single = alike.where("r = 1")
-    sizes = single.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo != hi").select("bucket", "size")
-    classed = kept(single.join(sizes, "bucket").select("doc_id", "start", "n", "place", "bucket", "size", "bytes"), "classed")
+    texts = docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "sub"]).select("doc_id", "sub", "text", "runs")
+    cut = kept(texts.mapInArrow(partial(_cut, width=width), _CUT), "pieces")
+    drop(wanted)
+    pieces = kept(cut.where(F.col("size") > CROWDED).mapInArrow(partial(_classes, width=width), _PIECE), "classes")
+    known = kept(_firsts(pieces, ["bucket", "content"], place), "firsts")
+    sizes = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    told = kept(pieces.join(known.join(sizes, "bucket", "left").drop("c"), ["bucket", "content"]).withColumn("leads", _is_first(place)).drop("first"), "classed")
+    drop(pieces)
+    done.append(kept(span(told.where("not leads"), width - 1), "gone"))
+    classed = told.where("leads and size is not null").select("doc_id", "sub", "start", "n", "place", "bucket", "size", "bytes")
     small = cut.unionByName(classed).where(F.col("size") <= CROWDED).repartition("bucket").sortWithinPartitions("bucket")
-    sorted_ = small.mapInArrow(partial(_sorted_blocks, width=width), "doc_id long, lo long, hi long")
-    hashed = kept(classed.where(F.col("size") > CROWDED).mapInArrow(partial(_prefixes, width=width), "doc_id long, lo long, hi long, h1 long, h2 long"), "prefixes")
-    crowd = hashed.where("h1 is not null").withColumn("r", F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "lo"))).where("r > 1")
-    again = ended(alike.where("r > 1"), "n", width - 1)
-    parts = [at_once, copies, again, sorted_, crowd.select("doc_id", "lo", "hi"), hashed.where("h1 is null").select("doc_id", "lo", "hi")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    done.append(kept(small.mapInArrow(partial(_sorted_blocks, width=width), _GONE), "gone"))
+    edges = kept(classed.where(F.col("size") > CROWDED).mapInArrow(partial(_edges, width=width), f"{_GONE}, bucket long, edge long"), "edges")
+    done.append(edges.where("edge is null").select("doc_id", "sub", "lo", "hi"))
+    last = edges.where("edge is not null")
+    at = ["doc_id", "sub", "lo"]
+    done.append(last.join(_firsts(last, ["bucket", "edge"], at).where("c > 1").drop("c"), ["bucket", "edge"]).where(~_is_first(at)).select("doc_id", "sub", "lo", "hi"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -386,14 +458,12 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """(doc_id, n_bytes, n_removed, spans, kept) for every row of docs.
 
     `spans` are the maximal removed byte ranges, [lo, hi), in order; `kept` the bytes that
-    remain.  Null texts are empty; texts shorter than `width` lose nothing.  A null doc_id
-    sorts before all others.  doc_id is meant to be unique: rows that repeat one count as
-    one place in the order, so they never cost each other anything at equal starts, and what
-    is removed at a place goes from all of them.  Other columns are ignored.
+    remain.  Null texts are empty; texts shorter than `width` lose nothing; very long texts are
+    taken whole.  A null doc_id sorts before all others.  Rows that share an id, or have none,
+    are documents of their own, ordered by a hash of their texts; rows that repeat both id and
+    text are one place: they cost each other nothing, and what is removed goes from all of
+    them.  Equal strings are told by (doc_id, start), so there are no ties but those.  An empty
+    table gives an empty one.  Other columns are ignored.
     """
-    if width < GRAM:
-        raise ValueError(f"width must be at least {GRAM}")
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = removed_intervals(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
-    out = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LOWEST, F.col("doc_id")))
+    rows = _placed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
+    return _with_gone(rows, "text", width).select("doc_id", "text", F.col("__gone").alias("gone")).mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary")
