@@ -18,14 +18,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import kept
+from .storage import kept, scratch
 
 #: Masks over consecutive words: ones are hashed, zeros ignored.
 MASKS = ("11111", "1101011")
-#: Words of the window that must agree, and the share of them that must.
+#: More masks for items shorter than the window, of which fewer words may agree in a row.
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+#: Words of the window that must agree, and the share of them that must.  With these, and items
+#: of ITEM_WORDS and more, every overlap that the share allows has a seed (tests enumerate them).
 WINDOW, SHARE_NUM, SHARE_DEN = 13, 80, 100
+#: Items of fewer words overlap with nothing.
+ITEM_WORDS = 5
 #: Bytes of benchmark text up to which its seeds are broadcast (about 16 times as much in memory).
 BROADCAST_BYTES = 4 << 20
+#: Rows found that are broadcast at most (8 bytes each); beyond, the join is by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _let(value: Column, body) -> Column:
@@ -75,35 +82,42 @@ def overlap(words: Column, item: Column, shift: Column, window: Column, num: int
     """
     # out of range: null, which equals nothing
     equal = F.transform(F.sequence(F.lit(0), F.size(item) - 1), lambda j: F.coalesce((F.get(words, j + shift) == item[j]).cast("int"), F.lit(0)))
-    # running sums, so that each window is one subtraction
-    sums = F.aggregate(equal, F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) + e)))
-    scored = lambda s: F.transform(F.sequence(F.lit(0), F.size(item) - window), lambda b: F.struct((s[b + window] - s[b]).alias("matched"), (-b).alias("minus_start")))
-    best = _let(sums, lambda s: F.array_max(scored(s)))
+    # a window is short, so its sum costs the same wherever it begins
+    total = lambda e, b: F.aggregate(F.slice(e, b + 1, window), F.lit(0), lambda acc, x: acc + x)
+    scored = lambda e: F.transform(F.sequence(F.lit(0), F.size(item) - window), lambda b: F.struct(total(e, b).alias("matched"), (-b).alias("minus_start")))
+    best = _let(equal, lambda e: F.array_max(scored(e)))
     return _let(best, lambda b: F.when(b["matched"] * den >= window * num, F.struct(b["matched"].alias("matched"), (-b["minus_start"]).alias("item_start"))))
 
 
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: tuple[int, int] = (SHARE_NUM, SHARE_DEN),
+    masks: tuple[str, ...] = MASKS, short_masks: tuple[str, ...] = SHORT_MASKS, window: int = WINDOW, share: tuple[int, int] = (SHARE_NUM, SHARE_DEN),
 ) -> DataFrame:
     """(doc_id, item_id, matched, window_words, doc_start, item_start) for each text and item that overlap.
 
-    A text overlaps an item if, at a shift where some seed agrees, at least share of the words
-    of a window of `window` consecutive words of the item (the whole item, if it is shorter)
-    are the same in both.  The best window is reported: most equal words, then leftmost in
-    the text, then in the item.  doc_start and item_start count words from 0.
+    A text overlaps an item if, laid over it at some shift, at least share of the words of a
+    window of `window` consecutive words of the item (the whole item, if it is shorter) are the
+    same in both.  With the masks given, a seed agrees at every such shift.  The best window is
+    reported: most equal words, then leftmost in the text, then in the item.  doc_start and
+    item_start count words from 0.
 
-    Items of fewer words than the shortest mask, null and empty texts overlap with nothing.
-    Rows that repeat an id count as one text whose best window is reported; null ids are kept
-    as one id.  Other columns are ignored.
+    Items of fewer than ITEM_WORDS words, null and empty texts overlap with nothing; very long
+    texts are taken whole.  Rows that repeat an id count as one text whose best window is
+    reported; null ids are kept as one id.  An empty table on either side gives an empty one.
+    Other columns are ignored.
     """
     num, den = share
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col).cast("string")).alias("item"))
-    items = items.where(F.size("item") >= min(len(m) for m in masks)).distinct()
-    item_seeds = seeded(items, "item", masks, "q")
+    items = items.where(F.size("item") >= ITEM_WORDS).distinct()
+    short = F.size("item") < window
+    if short_masks and items.where(short).limit(1).count():  # texts are hashed under them only if some item needs it
+        every = masks + short_masks
+        item_seeds = seeded(items.where(short), "item", every, "q").unionByName(seeded(items.where(~short), "item", masks, "q"))
+    else:
+        every, item_seeds = masks, seeded(items, "item", masks, "q")
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(item_text_col).cast("string"))), F.lit(0))).first()[0]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("words"))
-    text_seeds = seeded(texts, "words", masks, "p")
+    text_seeds = seeded(texts, "words", every, "p")
     if size <= BROADCAST_BYTES:
         hits = text_seeds.join(F.broadcast(item_seeds), "seed")
     else:
@@ -127,3 +141,17 @@ def overlaps(
     best = cut.select("doc_id", "item_id", "shift", w.alias("window_words"), overlap(F.col("piece"), F.col("item"), -F.col("head"), w, num, den).alias("o")).where("o is not null")
     ranked = best.select("doc_id", "item_id", F.struct((-F.col("o.matched")).alias("m"), (F.col("shift") + F.col("o.item_start")).alias("d"), F.col("o.item_start").alias("i"), F.col("window_words").alias("w")).alias("r")).groupBy("doc_id", "item_id").agg(F.min("r").alias("r"))
     return ranked.select("doc_id", "item_id", (-F.col("r.m")).cast("int").alias("matched"), F.col("r.w").alias("window_words"), F.col("r.d").alias("doc_start"), F.col("r.i").alias("item_start"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that overlap no benchmark item.
+
+    Rows are judged by id and text, so a null id or one that several texts share saves or costs
+    no other row.  Null and empty texts stay; an empty table on either side changes nothing.
+    """
+    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    with scratch(docs.sparkSession):
+        hits = overlaps(docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text")), benchmark, id_col="row", text_col="text")
+        found = kept(hits.select(F.col("doc_id").alias("__row")).distinct(), "contaminated", lasting=True)
+    few = found.count() <= BROADCAST_ROWS
+    return docs.withColumn("__row", row).join(F.broadcast(found) if few else found, "__row", "left_anti").select(*docs.columns)
