@@ -4,9 +4,11 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 columns of documents.  Each result is written as Parquet and read again as the next one's
 docs.
 
-Nulls and empty texts: a null or empty text has no language and goes in the first stage.  A
-null doc_id stays with its row: it never loses to another document, and loses to none.  Rows
-that repeat a doc_id stand or fall together in the join stages.  Extra columns pass through.
+Nulls and empty texts: a null or empty text has no language and goes in the first stage; an
+empty table gives an empty one throughout, and without a labelled row no language is known, so
+nothing stays.  Rows are judged as rows, by id and text: texts under one id, or under null,
+live or die on their own.  Of near copies the smallest id stays, a null id last, and of rows
+that repeat id and text one.  Very long texts are taken whole.  Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -17,17 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bpe, decontaminate, langid, suffix
-from tesserae.llm.jaccard import BROADCAST_IDS, jaccard_components
-from tesserae.llm.storage import kept, shared_dir
+from tesserae.llm.jaccard import without_near_copies
+from tesserae.llm.storage import delete, owned, shared_dir
 from tesserae.llm.vocabulary import vocabulary_path
 
 
-def _without(docs: DataFrame, losers: DataFrame, name: str) -> DataFrame:
-    """docs without the ids in losers; they are few against the texts, and are sent out if few enough."""
-    losers = kept(losers.distinct(), name)
-    return docs.join(F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers, "doc_id", "left_anti").select(*docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which a language is found, learned from those that name theirs."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"), 4, 2)))
@@ -35,9 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id in each group of near duplicates: 5-word shingles, Jaccard 0.8."""
-    groups = jaccard_components(docs, size=5, threshold=(80, 100))
-    return _without(docs, groups.where("component_id != doc_id").select("doc_id"), "losers")
+    """Keep one document of each group of near duplicates: 5-word shingles, Jaccard 0.8."""
+    return without_near_copies(docs, size=5, threshold=(80, 100))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +43,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that overlap a benchmark item."""
-    hits = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, hits.select("doc_id"), "contaminated")
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +65,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder of tables."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder of tables.
+
+    A stage's own tables go when its result is written, and that result when the next one's is;
+    the last result stays, for the caller to read and delete.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with owned(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
