@@ -14,7 +14,8 @@ flips at most one bit, so the popcount of the exclusive or is at most the symmet
 difference.  Pairs that pass are settled by intersecting the sorted arrays exactly.
 
 Classes already joined through other links are not compared again: first every set is
-compared with one hub of its segments, then only pairs across the components so found.
+compared with one hub of its segments, some times over, then only pairs across the components
+so found, each pair in the one of their common segments whose key is least.
 Large segments are cut into blocks, and blocks are compared two by two in tasks of their own.
 """
 
@@ -33,6 +34,8 @@ from .storage import drop, kept, scratch
 
 #: Rows of a segment compared in one task; larger ones are cut into blocks of this many.
 BLOCK = 1024
+#: Times that sets are compared with one hub each before what is left is compared in pairs.
+TURNS = 3
 #: Ids that are broadcast at most (8 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 500_000
 #: Bits of a bitmap at most, so that a block of them stays small.
@@ -236,16 +239,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return _with_sets(pairs, sets, ("items",)).mapInArrow(partial(_verify, num=num, den=den), "a long, b long")
 
 
+def _met(keys: pa.ListArray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the keys below `below`: where each row's begin, their groups, and each group's begin and rows."""
+    flat_keys = keys.flatten().to_numpy()
+    row = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
+    less = flat_keys < below
+    row, (_, group) = row[less], np.unique(flat_keys[less], return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    begins = np.concatenate(([0], np.cumsum(np.bincount(group)))) if len(group) else np.zeros(1, np.int64)
+    return np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(keys))))), group, begins, row[order]
+
+
 def _tile(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of one block pair, across components, that their bitmaps let pass."""
+    """Pairs of one block pair, across components, that their bitmaps let pass.
+
+    A pair that also shares an open segment of a smaller key is left to that one.
+    """
     node, comp, n, half = (table.column(c).to_numpy() for c in ("node", "comp", "n", "half"))
     bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
     to = min((len(x) for x in bits), default=0)
     m = np.stack([fold(x, to) for x in bits]) if bits else np.zeros((0, 1), np.uint8)
+    of, group, begins, rows = _met(table.column("keys").combine_chunks(), table.column("key")[0].as_py())
     out_a, out_b = [], []
     for i in range(len(node)):
-        later = np.arange(i + 1, len(node))
-        later = later[(comp[later] != comp[i]) & ((half[later] != half[i]) | (half[i] == 2))]
+        fresh = (comp != comp[i]) & ((half != half[i]) | (half[i] == 2))
+        fresh[: i + 1] = False
+        for g in group[of[i] : of[i + 1]]:
+            fresh[rows[begins[g] : begins[g + 1]]] = False
+        later = np.flatnonzero(fresh)
         if not len(later):
             continue
         diff = np.bitwise_count(m[later] ^ m[i]).sum(axis=1, dtype=np.int64)
@@ -300,18 +321,29 @@ def _load(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return sets.drop("times")
 
 
-def _open_segments(members: DataFrame, comp: DataFrame) -> DataFrame:
+def _open_segments(placed: DataFrame) -> DataFrame:
     """(key, node, comp, rows) of segments whose members aren't in one component yet.
 
     Texts that are alike but not linked share many segments; of segments with the same
     members, told by two hash sums, one stays.
     """
-    placed = kept(members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
     told = placed.groupBy("key").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")
     )
     split = told.where("lo != hi").groupBy("rows", "h1", "h2").agg(F.min("key").alias("key")).select("key", "rows")
-    return placed.join(split, "key")
+    return placed.drop("rows").join(split, "key")
+
+
+def _star(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node with the hub that it shares most segments with, if that is of another component.
+
+    A segment's hub is one of its members, drawn by a hash that differs from turn to turn.
+    """
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "comp")
+    hubs = placed.groupBy("key").agg(F.min(drawn).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "hub")
+    met = placed.join(hubs, "key").where("comp != hub.comp").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
+    best = met.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("best"))
+    return best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct()
 
 
 def _linked_classes(docs: DataFrame, feats: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame] | None:
@@ -324,27 +356,33 @@ def _linked_classes(docs: DataFrame, feats: DataFrame, classes: DataFrame, size:
     if not wanted.limit(1).count():
         return None
     sets = _load(docs, wanted, size)
-    members = kept(active.join(wanted.select("s1", "node"), "s1").select("key", "node"), "members")
+    placed = kept(active.join(wanted.select("s1", "node"), "s1").select("key", "node", F.col("node").alias("comp")), "placed")
     drop(active)
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    star = kept(members.join(hubs, "key").where("node != hub").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")), "star")
-    likely = kept(_passing(star, sets, num, den), "likely")
-    edges = kept(_verified(likely, sets, num, den), "links")
-    comp = kept(components(edges), "components")
-    open_ = kept(_open_segments(members, comp), "open")
-    drop(members)
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    dealt = open_.withColumn("nb", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    edges = None
+    for turn in range(TURNS):
+        star = kept(_star(placed, turn), "star")
+        likely = kept(_passing(star, sets, num, den), "likely")
+        more = kept(_verified(likely, sets, num, den), "links")
+        edges = more if edges is None else edges.unionByName(more)
+        comp = kept(components(edges), "components")
+        now = placed.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = kept(_open_segments(now), "placed")
+        drop(placed)
+        placed = open_
+        if not open_.limit(1).count():
+            return wanted, comp
+    keys = placed.groupBy("node").agg(F.collect_list("key").alias("keys"))  # as many as a text has segments, at most
+    told = kept(sets.select("node", "n", "bits").join(keys, "node"), "told")
+    dealt = placed.withColumn("nb", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     spread = dealt.select("*", other.alias("with")).select(
         "key", "node", "comp", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1).alias("half")
     )
-    tiles = spread.join(sets.select("node", "n", "bits"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         return _tile(table, num, den)
 
-    pairs = kept(tiles.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "likely")
+    pairs = kept(spread.join(told, "node").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "likely")
     more = kept(_verified(pairs, sets, num, den), "links")
     return wanted, kept(components(edges.unionByName(more)), "components")
 
