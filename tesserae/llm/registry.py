@@ -61,7 +61,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stupid-backoff score of every document under the bigrams of all documents."""
+    """The stupid-backoff score of every document under the bigrams of all documents; what no other has backs off."""
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
@@ -105,12 +105,7 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text,
 i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
 iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM i WHERE len(w) >= 5),
-ds AS (SELECT doc_id, p, word AS w0, lead(word, 1) OVER d AS w1, lead(word, 2) OVER d AS w2, lead(word, 3) OVER d AS w3, lead(word, 4) OVER d AS w4, lead(word, 5) OVER d AS w5, lead(word, 6) OVER d AS w6 FROM dw WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
-s AS (SELECT item_id, q, word AS w0, lead(word, 1) OVER d AS w1, lead(word, 2) OVER d AS w2, lead(word, 3) OVER d AS w3, lead(word, 4) OVER d AS w4, lead(word, 5) OVER d AS w5, lead(word, 6) OVER d AS w6 FROM iw WINDOW d AS (PARTITION BY item_id ORDER BY q)),
-hits AS (
-  SELECT doc_id, item_id, p - q AS shift FROM ds JOIN s USING (w0, w1, w2, w3, w4)
-  UNION
-  SELECT doc_id, item_id, p - q AS shift FROM ds JOIN s USING (w0, w1, w3, w5, w6)),
+hits AS (SELECT doc_id, item_id, p - q AS shift FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) * 100 >= any_value(least(13, n)) * 80),
 laid AS (SELECT h.doc_id, h.item_id, h.shift, iw.n, iw.q, CASE WHEN dw.word = iw.word THEN 1 ELSE 0 END AS eq FROM hits h JOIN iw USING (item_id) LEFT JOIN dw ON dw.doc_id = h.doc_id AND dw.p = iw.q + h.shift),
 runs AS (SELECT doc_id, item_id, shift, n, q, CASE WHEN n >= 13 THEN sum(eq) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) ELSE sum(eq) OVER (PARTITION BY doc_id, item_id, shift) END AS m FROM laid),
 best AS (SELECT doc_id, item_id, CAST(m AS INTEGER) AS matched, CAST(least(13, n) AS INTEGER) AS window_words, CAST(shift + q AS INTEGER) AS doc_start, CAST(q AS INTEGER) AS item_start FROM runs WHERE q <= n - least(13, n) AND m * 100 >= least(13, n) * 80)
@@ -123,9 +118,10 @@ WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 e AS (SELECT doc_id, unnest(w) AS b, generate_subscripts(w, 1) AS i FROM t),
 g AS (SELECT doc_id, lag(b) OVER (PARTITION BY doc_id ORDER BY i) AS a, b FROM e),
 one AS (SELECT b, count(*) AS n FROM g GROUP BY b),
-two AS (SELECT a, b, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
-s AS (SELECT doc_id, CASE WHEN g.a IS NULL THEN ln(o.n / CAST((SELECT count(*) FROM g) AS DOUBLE)) WHEN two.n IS NOT NULL THEN ln(two.n / CAST(c.n AS DOUBLE)) ELSE ln(0.4 * o.n / (SELECT count(*) FROM g)) END AS l
-  FROM g JOIN one o ON o.b = g.b LEFT JOIN two ON two.a = g.a AND two.b = g.b LEFT JOIN one c ON c.b = g.a),
+two AS (SELECT a, b, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b),
+own AS (SELECT doc_id, a, b, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY doc_id, a, b),
+s AS (SELECT g.doc_id, CASE WHEN g.a IS NULL THEN ln(o.n / CAST((SELECT count(*) FROM g) AS DOUBLE)) WHEN two.n > own.n THEN ln(two.n / CAST(c.n AS DOUBLE)) ELSE ln(0.4 * o.n / (SELECT count(*) FROM g)) END AS l
+  FROM g JOIN one o ON o.b = g.b LEFT JOIN own ON own.doc_id = g.doc_id AND own.a = g.a AND own.b = g.b LEFT JOIN two ON two.a = g.a AND two.b = g.b LEFT JOIN one c ON c.b = g.a),
 d AS (SELECT doc_id, count(*) AS n_words, sum(l) AS s FROM s GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(s, 0), 4) AS log_score, CASE WHEN n_words > 0 THEN round(s / n_words, 4) END AS mean_log_score FROM documents LEFT JOIN d USING (doc_id)
 """
