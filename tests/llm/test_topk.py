@@ -16,9 +16,11 @@ def brute(rows, k, asks):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [8192, 50])
-def test_matches_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "chunk", "seeds"), [(8192, 32_768, 4096), (50, 7, 30), (50, 32_768, 3)])
+def test_matches_brute_force(spark, monkeypatch, block, chunk, seeds):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "CHUNK", chunk)
+    monkeypatch.setattr(topk, "SEEDS", seeds)
     rng = np.random.default_rng(1)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * (1 if i % 3 else 0.05)]) for i in range(400)]
     rows += [(400 + i, rows[i][1]) for i in range(20)]
@@ -43,3 +45,24 @@ def test_bounds_eliminate():
     table = np.sqrt(((x[:, None, :] - x[None, :4, :]) ** 2).sum(axis=2))
     *_, seen = search_block(np.array([0]), x[:1], table[:1], np.arange(len(x)), x, table, 5)
     assert seen < 600
+
+
+def test_share_evaluated(spark):
+    """Clustered vectors: few candidates are evaluated, more pivots leave fewer, and results stay exact."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(np.float32(v)) for v in centres[i % 40] + 0.05 * rng.normal(size=16)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    shares = {}
+    for n in (4, 64):
+        got = top_k(df, F.col("vec_id") % 50 == 0, pivots=n, with_share=True).collect()
+        assert sorted(tuple(r)[:4] for r in got) == brute(rows, 5, lambda i: i % 50 == 0)
+        shares[n] = got[0].evaluated
+    assert shares[64] < 0.15 and shares[64] <= shares[4]
+
+
+def test_vectors_of_several_lengths_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rows = [(i, [1.0, float(i % 3)] if i % 2 else [1.0, float(i % 5), 0.5]) for i in range(90)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 9 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5, lambda i: i % 9 == 0)
