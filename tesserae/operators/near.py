@@ -15,22 +15,35 @@ THRESHOLD, COMMON = 0.70, 64
 THRESHOLD_F32 = 0.699999988079071
 
 
-def shapes(signatures: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Distinct (norm_hash, subtree_hash) of the wanted bodies."""
-    return signatures.join(bodies.select("norm_hash"), "norm_hash", "left_semi").select("norm_hash", "subtree_hash").distinct()
-
-
-def pairs(signatures: DataFrame, bodies: DataFrame, threshold: float = THRESHOLD_F32, common: int = COMMON) -> DataFrame:
-    """(a, b, shared, shapes_a, shapes_b, similarity) with a < b and similarity >= threshold."""
-    s = shapes(signatures, bodies)
-    size = s.groupBy("norm_hash").agg(F.count(F.lit(1)).alias("shapes"))
-    listed = s.groupBy("subtree_hash").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, common)).select("subtree_hash")
-    posting = s.join(listed, "subtree_hash")
-    a, b = posting.withColumnRenamed("norm_hash", "a"), posting.withColumnRenamed("norm_hash", "b")
-    shared = a.join(b, "subtree_hash").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    sized = shared.join(size.select(F.col("norm_hash").alias("a"), F.col("shapes").alias("shapes_a")), "a").join(size.select(F.col("norm_hash").alias("b"), F.col("shapes").alias("shapes_b")), "b")
+def sets(signatures: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """(norm_hash, n, subtree_hash): each wanted body's distinct shapes, with their number in every row.
+
+    One shuffle by body gives both; a body's shapes are as many as its nodes at most.
+    """
+    if bodies is not None:
+        signatures = signatures.join(bodies.select("norm_hash").distinct(), "norm_hash", "left_semi")
+    whole = signatures.groupBy("norm_hash").agg(F.collect_set("subtree_hash").alias("shapes"))
+    return whole.select("norm_hash", F.size("shapes").alias("n"), F.explode("shapes").alias("subtree_hash"))
+
+
+def shared_shapes(s: DataFrame, common: int) -> DataFrame:
+    """(a, b, shared, shapes_a, shapes_b) of bodies that share a shape of 2 to `common` bodies.
+
+    Lists are cut to such shapes before they are collected, so none is longer than `common`.
+    """
+    df = s.groupBy("subtree_hash").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, common)).select("subtree_hash")
+    lists = s.join(df, "subtree_hash").groupBy("subtree_hash").agg(F.array_sort(F.collect_list(F.struct("norm_hash", "n"))).alias("l"))
+    left = lists.select("l", F.posexplode("l").alias("i", "x"))
+    both = left.select(F.col("x.norm_hash").alias("a"), F.col("x.n").alias("shapes_a"), F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("y"))
+    grouped = both.groupBy("a", F.col("y.norm_hash").alias("b"))
+    return grouped.agg(F.count(F.lit(1)).alias("shared"), F.first("shapes_a").cast("long").alias("shapes_a"), F.first("y.n").cast("long").alias("shapes_b"))
+
+
+def pairs(signatures: DataFrame, bodies: DataFrame | None = None, threshold: float = THRESHOLD_F32, common: int = COMMON) -> DataFrame:
+    """(a, b, shared, shapes_a, shapes_b, similarity) with a < b and similarity >= threshold, of some bodies or all."""
+    found = shared_shapes(sets(signatures, bodies), common)
     jaccard = F.col("shared") / F.greatest(F.col("shapes_a") + F.col("shapes_b") - F.col("shared"), F.lit(1))
-    return sized.withColumn("similarity", jaccard).where(F.col("similarity") >= threshold).select("a", "b", "shared", "shapes_a", "shapes_b", "similarity")
+    return found.withColumn("similarity", jaccard).where(F.col("similarity") >= threshold).select("a", "b", "shared", "shapes_a", "shapes_b", "similarity")
 
 
 def covered(signatures: DataFrame, found: DataFrame) -> DataFrame:
@@ -58,13 +71,11 @@ def covered(signatures: DataFrame, found: DataFrame) -> DataFrame:
 
 def stats(signatures: DataFrame, bodies: DataFrame, common: int = COMMON) -> DataFrame:
     """One row on the work: bodies, shapes, dropped_common, candidates, exhaustive."""
-    s = shapes(signatures, bodies)
+    s = sets(signatures, bodies)
     df = s.groupBy("subtree_hash").agg(F.count(F.lit(1)).alias("df"))
-    posting = s.join(df.where(F.col("df").between(2, common)).select("subtree_hash"), "subtree_hash")
-    a, b = posting.withColumnRenamed("norm_hash", "a"), posting.withColumnRenamed("norm_hash", "b")
     n = bodies.select("norm_hash").distinct().agg(F.count(F.lit(1)).alias("bodies"))
     m = df.agg(F.count(F.lit(1)).alias("shapes"), F.count_if(F.col("df") > common).alias("dropped_common"))
-    c = a.join(b, "subtree_hash").where("a < b").select("a", "b").distinct().agg(F.count(F.lit(1)).alias("candidates"))
+    c = shared_shapes(s, common).agg(F.count(F.lit(1)).alias("candidates"))
     return n.crossJoin(m).crossJoin(c).withColumn("exhaustive", F.floor(F.col("bodies") * (F.col("bodies") - 1) / 2).cast("long"))
 
 
@@ -74,16 +85,24 @@ def representatives(units: DataFrame) -> DataFrame:
     return units.groupBy("norm_hash").agg(F.min(F.struct("path", "line", *rest)).alias("u")).select("norm_hash", "u.*")
 
 
-def neighbors(signatures: DataFrame, target: DataFrame, bodies: DataFrame, threshold: float = THRESHOLD_F32) -> DataFrame:
+def neighbors(signatures: DataFrame, target: DataFrame, bodies: DataFrame | None = None, threshold: float = THRESHOLD_F32) -> DataFrame:
     """(target, norm_hash, shared, similarity) of bodies near the target bodies; common shapes count here.
 
-    The shapes of the targets are few and lead; each body's own shapes are read once.
+    The sizes of both sides travel with their shapes, so nothing is joined to learn them.
     """
-    s = shapes(signatures, bodies.select("norm_hash").union(target.select("norm_hash")).distinct())
-    size = s.groupBy("norm_hash").agg(F.count(F.lit(1)).alias("shapes"))
-    of_target = s.join(target.select("norm_hash"), "norm_hash", "left_semi").select(F.col("norm_hash").alias("target"), "subtree_hash")
-    shared = s.join(of_target, "subtree_hash").where("norm_hash != target").groupBy("target", "norm_hash").agg(F.count(F.lit(1)).alias("shared"))
-    t = size.select(F.col("norm_hash").alias("target"), F.col("shapes").alias("of_target"))
-    out = shared.join(size, "norm_hash").join(t, "target")
-    j = F.col("shared") / F.greatest(F.col("shapes") + F.col("of_target") - F.col("shared"), F.lit(1))
-    return out.withColumn("similarity", j).where(F.col("similarity") >= threshold).select("target", "norm_hash", "shared", "similarity")
+    wanted = None if bodies is None else bodies.select("norm_hash").union(target.select("norm_hash"))
+    s = sets(signatures, wanted)
+    t = s.join(target.select("norm_hash").distinct(), "norm_hash", "left_semi").select(F.col("norm_hash").alias("target"), F.col("n").alias("of_target"), "subtree_hash")
+    met = s.join(t, "subtree_hash").where("norm_hash != target").groupBy("target", "norm_hash").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("of_target").alias("of_target"))
+    j = F.col("shared") / F.greatest(F.col("n") + F.col("of_target") - F.col("shared"), F.lit(1))
+    return met.withColumn("similarity", j).where(F.col("similarity") >= threshold).select("target", "norm_hash", "shared", "similarity")
+
+
+def neighbors_of(signatures: DataFrame, body: str, threshold: float = THRESHOLD_F32) -> DataFrame:
+    """(norm_hash, shared, similarity) of bodies near one body: one pass over the shapes, each marked if the body has it."""
+    own = signatures.where(F.col("norm_hash") == body).select("subtree_hash").distinct().withColumn("_own", F.lit(1))
+    rows = signatures.join(F.broadcast(own), "subtree_hash", "left").select("norm_hash", "subtree_hash", "_own").distinct()
+    met = rows.groupBy("norm_hash").agg(F.count(F.lit(1)).alias("n"), F.count("_own").alias("shared")).where("shared > 0")
+    size = own.agg(F.count(F.lit(1)).alias("of_target"))
+    j = F.col("shared") / F.greatest(F.col("n") + F.col("of_target") - F.col("shared"), F.lit(1))
+    return met.where(F.col("norm_hash") != body).crossJoin(F.broadcast(size)).withColumn("similarity", j).where(F.col("similarity") >= threshold).select("norm_hash", "shared", "similarity")

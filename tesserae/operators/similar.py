@@ -32,28 +32,38 @@ def suggestions(units: DataFrame, target: str, n: int = SUGGESTIONS) -> DataFram
     return units.select("id").distinct().withColumn("shared", F.greatest(p, q)).where(F.col("shared") * 4 >= 3 * len(target)).orderBy(F.desc("shared"), "id").limit(n)
 
 
-def similar(units: DataFrame, signatures: DataFrame, target: DataFrame, policy: Policy | None = None, *, floor: float = 0.0, limit: int = 10, threshold: float = near.THRESHOLD_F32) -> DataFrame:
+def similar(
+    units: DataFrame, signatures: DataFrame, target: DataFrame, policy: Policy | None = None, *, floor: float = 0.0, limit: int = 10, threshold: float = near.THRESHOLD_F32
+) -> DataFrame:
     """(tier, path, line, unit, similarity, rank) for one target unit (a one-row frame of units).
 
     First bodies that hash alike at another place, then bodies whose shapes are near, then
-    vectors; a unit is in the first tier that claims it.
+    vectors; a unit is in the first tier that claims it.  The target's row is read first, so
+    every tier compares with plain values and units are read once.
     """
     policy = policy or Policy()
-    t = F.broadcast(target.select(F.col("unit").alias("t_unit"), F.col("path").alias("t_path"), F.col("line").alias("t_line"), F.col("norm_hash").alias("t_hash"), F.col("vec").alias("t_vec")).limit(1))
+    cols = ("tier", "path", "line", "unit", "similarity", "rank")
+    found = target.select("path", "line", "norm_hash", "vec").limit(1).collect()
+    if not found:
+        kinds = {f.name: f.dataType.simpleString() for f in units.schema.fields}
+        return units.sparkSession.createDataFrame([], f"tier string, path string, line {kinds['line']}, unit {kinds['unit']}, similarity double, rank int")
+    (t,) = found
     shown = units.where(policy.reported(policy.of(F.col("path"))))
-    others = shown.crossJoin(t).where((F.col("path") != F.col("t_path")) | (F.col("line") != F.col("t_line")))
-    cols = ("unit", "path", "line", "similarity")
-    exact = others.where(F.col("norm_hash") == F.col("t_hash")).withColumn("similarity", F.lit(1.0)).select(*cols)
-    bodies = shown.where(F.col("norm_hash").isNotNull()).select("norm_hash").distinct()
-    close = near.neighbors(signatures, target.where(F.col("norm_hash").isNotNull()).select("norm_hash"), bodies, threshold).select("norm_hash", "similarity")
-    nearby = others.join(close, "norm_hash").select(*cols).join(exact.select("unit"), "unit", "left_anti")
-    claimed = exact.select("unit").union(nearby.select("unit"))
-    meant = others.where(F.col("vec").isNotNull() & F.col("t_vec").isNotNull()).withColumn("similarity", cosine(F.col("vec"), F.col("t_vec"))).where(F.col("similarity") >= floor).select(*cols).join(claimed, "unit", "left_anti")
-    meant = meant.orderBy(F.desc("similarity"), "path", "line").limit(limit)
-    tagged = [x.withColumn("tier_no", F.lit(i)) for i, x in enumerate((exact, nearby, meant))]
-    all_ = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    others = shown.where((F.col("path") != t["path"]) | (F.col("line") != t["line"]))
+    similarity = F.lit(0.0)
+    tier = F.lit(None).cast("int")
+    if t["vec"] is not None:
+        close = cosine(F.col("vec"), F.array(*[F.lit(float(x)) for x in t["vec"]]))
+        similarity = F.when(F.col("vec").isNotNull(), close)
+        tier = F.when(F.col("vec").isNotNull() & (close >= floor), 2)
+    if t["norm_hash"] is not None:
+        near_ = near.neighbors_of(signatures, t["norm_hash"], threshold).select("norm_hash", F.col("similarity").alias("_near"))
+        others = others.join(near_, "norm_hash", "left")
+        same = F.coalesce(F.col("norm_hash") == t["norm_hash"], F.lit(False))
+        similarity = F.when(same, 1.0).when(F.col("_near").isNotNull(), F.col("_near")).otherwise(similarity)
+        tier = F.when(same, 0).when(F.col("_near").isNotNull(), 1).otherwise(tier)
+    placed = others.select("unit", "path", "line", tier.alias("tier_no"), similarity.alias("similarity")).where("tier_no is not null")
+    top = placed.orderBy("tier_no", F.desc("similarity"), "path", "line").limit(limit)
     order = Window.partitionBy(F.lit(0)).orderBy("tier_no", F.desc("similarity"), "path", "line")
-    # each tier is small; the cut is by place in the whole list
-    top = all_.orderBy("tier_no", F.desc("similarity"), "path", "line").limit(limit)
     name = F.element_at(F.array(*[F.lit(x) for x in TIERS]), F.col("tier_no") + 1)
-    return top.withColumn("rank", F.row_number().over(order)).select(name.alias("tier"), *cols, "rank")
+    return top.withColumn("rank", F.row_number().over(order)).withColumn("tier", name).select(*cols)
