@@ -63,8 +63,8 @@ def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TURNS = f"""
 u AS (SELECT conv_id * 1000 + turn AS unit, 'c' || lpad(CAST(conv_id AS VARCHAR), 9, '0') AS path, turn + 1 AS line, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS tokens, CAST(conv_id AS VARCHAR) AS owner, CASE role WHEN 'system' THEN 'public' ELSE 'private' END AS visibility, CASE role WHEN 'user' THEN 'summary' ELSE 'identifier' END AS vec_via, e.embedding AS vec
-  FROM conversations LEFT JOIN embeddings e ON e.vec_id = conv_id * 4 + turn AND turn < 4),
-q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '{WORDS}')[1:4] AS q, e.embedding AS qv FROM benchmark JOIN embeddings e ON e.vec_id = item_id)
+  FROM conversations LEFT JOIN embeddings e ON e.vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings)),
+q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '{WORDS}') AS q, e.embedding AS qv FROM benchmark LEFT JOIN embeddings e ON e.vec_id = item_id)
 """
 
 
@@ -85,12 +85,13 @@ SELECT query_id, unit, floor(score * 10000 + 0.5) / 10000 AS score, CASE WHEN l
 def search_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten turns of conversations that answer each benchmark item best, by words, vectors and whole conversations."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    n = e.count()  # every turn has a vector
     c = table(spark, sf_dir, "conversations")
     u = c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("unit"), F.concat(F.lit("c"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias("path"), (F.col("turn") + 1).alias("line"), tokens(F.col("text")).alias("tokens"), F.col("conv_id").cast("string").alias("owner"),
-        F.when(F.col("role") == "system", "public").otherwise("private").alias("visibility"), F.lit(None).cast("string").alias("via"), F.when(F.col("role") == "user", "summary").otherwise("identifier").alias("vec_via"), F.lit("ruby").alias("lang"), F.when(F.col("turn") < 4, F.col("conv_id") * 4 + F.col("turn")).alias("vec_id"),
+        F.when(F.col("role") == "system", "public").otherwise("private").alias("visibility"), F.lit(None).cast("string").alias("via"), F.when(F.col("role") == "user", "summary").otherwise("identifier").alias("vec_via"), F.lit("ruby").alias("lang"), F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(n)).alias("vec_id"),
     ).join(e, "vec_id", "left")
-    q = table(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, 4).alias("tokens"), "vec")
+    q = table(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id"), "left").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("tokens"), "vec")
     return search.search(u, q, floor=0.1).select("query_id", "unit", round4(F.col("score")).alias("score"), "how", "rank")
 
 
