@@ -21,15 +21,14 @@ def fnv1a_bytes(data: bytes, seed: int = FNV_OFFSET) -> int:
     return h
 
 
-@pandas_udf(LongType())
-def fnv1a(texts: pd.Series) -> pd.Series:
-    """FNV-1a of each text's UTF-8 bytes, as the signed number of the same bits; null for null.
+def fnv1a_many(texts: list[str | None]) -> np.ndarray:
+    """FNV-1a of each text's UTF-8 bytes, unsigned.
 
-    All texts of a batch advance together, one byte position at a time, so the loop runs as
-    often as the longest text is long and not once per byte.
+    All texts advance together, one byte position at a time, so the loop runs as often as the
+    longest text is long and not once per byte.
     """
     raw = [t.encode() if t is not None else b"" for t in texts]
-    order = np.argsort([-len(r) for r in raw], kind="stable")
+    order = np.argsort([-len(r) for r in raw], kind="stable").astype(np.int64)
     size = np.array([len(raw[i]) for i in order], np.int64)
     buf = np.frombuffer(b"".join(raw[i] for i in order), np.uint8)
     start = np.cumsum(size) - size
@@ -37,9 +36,15 @@ def fnv1a(texts: pd.Series) -> pd.Series:
     for k in range(int(size[0]) if len(size) else 0):
         n = int(np.searchsorted(-size, -k, side="left"))  # those longer than k
         h[:n] = (h[:n] ^ buf[start[:n] + k].astype(np.uint64)) * np.uint64(FNV_PRIME)
-    out = np.empty(len(raw), np.int64)
-    out[order] = h.view(np.int64)
-    return pd.Series(out, dtype="Int64").where(texts.notna().to_numpy(), pd.NA)
+    out = np.empty(len(raw), np.uint64)
+    out[order] = h
+    return out
+
+
+@pandas_udf(LongType())
+def fnv1a(texts: pd.Series) -> pd.Series:
+    """FNV-1a of each text's UTF-8 bytes, as the signed number of the same bits; null for null."""
+    return pd.Series(fnv1a_many(list(texts)).view(np.int64), dtype="Int64").where(texts.notna().to_numpy(), pd.NA)
 
 
 def hex16(h: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, FloatType
 
-from .hashing import fnv1a_bytes
+from .hashing import fnv1a_bytes, fnv1a_many
 from .text import tokens
 
 NATIVE_DIMS, DIMS = 384, 256
@@ -50,8 +50,19 @@ def embed_text(text: str) -> np.ndarray:
 
 @pandas_udf(ArrayType(FloatType()))
 def hash_embed(texts: pd.Series) -> pd.Series:
-    """Each text's embedding by feature hashing; null for null."""
-    return texts.map(lambda t: None if t is None else embed_text(t))
+    """Each text's embedding by feature hashing, as `embed_text`; null for null.
+
+    The distinct tokens of a batch are hashed together, and all texts are summed at once.
+    """
+    import regex
+
+    found = [regex.findall(r"[\p{L}\p{N}]+", t.lower()) if t is not None else [] for t in texts]
+    own, back = np.unique(np.array([t for f in found for t in f], object), return_inverse=True) if any(found) else (np.zeros(0, object), np.zeros(0, np.int64))
+    h = fnv1a_many(list(own))
+    out = np.zeros((len(found), NATIVE_DIMS), np.float32)
+    text = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    np.add.at(out, (text, (h % np.uint64(DIMS)).astype(np.int64)[back]), np.where(h >> np.uint64(32) & np.uint64(1), -1.0, 1.0).astype(np.float32)[back])
+    return pd.Series([None if t is None else v for t, v in zip(texts, out, strict=True)])
 
 
 def hash_embed_native(df: DataFrame, key: str, text: Column, dims: int = DIMS) -> DataFrame:

@@ -19,7 +19,11 @@ def located(files: DataFrame, units: DataFrame, *, root: str | None = None, scop
 
 def status(checkouts: DataFrame, files: DataFrame, units: DataFrame) -> DataFrame:
     """(root, files, blobs, units) of each checkout; a blob's units count at each of its paths."""
-    per_blob = units.groupBy("oid").agg(F.count(F.lit(1)).alias("n"))
+    return status_of_counts(checkouts, files, units.groupBy("oid").agg(F.count(F.lit(1)).alias("n")))
+
+
+def status_of_counts(checkouts: DataFrame, files: DataFrame, per_blob: DataFrame) -> DataFrame:
+    """`status` for the number of units (oid, n) of each blob."""
     rows = files.join(per_blob, "oid", "left")
     g = rows.groupBy("root").agg(F.count("path").alias("files"), F.countDistinct("oid").alias("blobs"), F.coalesce(F.sum("n"), F.lit(0)).alias("units"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -75,7 +75,7 @@ sized AS (SELECT a, b, shared, x.shapes AS shapes_a, y.shapes AS shapes_b, share
 @query("dupes_near", f"WITH {UNITS}, {SHAPES}, {PAIRS} SELECT a, b, shared, shapes_a, shapes_b, floor(similarity * 10000 + 0.5) / 10000 AS similarity FROM sized WHERE similarity >= {near.THRESHOLD_F32}")
 def dupes_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = exact.candidates(units(spark, sf_dir), min_lines=MIN_LINES)
-    return near.pairs(signatures(u), u.select("norm_hash").distinct()).withColumn("similarity", round4(F.col("similarity")))
+    return near.pairs(signatures(u)).withColumn("similarity", round4(F.col("similarity")))
 
 
 @query("near_stats", f"WITH {UNITS}, {SHAPES}, {PAIRS} SELECT (SELECT count(DISTINCT norm_hash) FROM cand) AS bodies, (SELECT count(*) FROM df) AS shapes, (SELECT count(*) FROM df WHERE df > 64) AS dropped_common, (SELECT count(*) FROM shared) AS candidates, (SELECT count(DISTINCT norm_hash) * (count(DISTINCT norm_hash) - 1) // 2 FROM cand) AS exhaustive")
@@ -89,7 +89,7 @@ def near_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies near those of one source, whatever their own; common shapes count here."""
     u = exact.candidates(units(spark, sf_dir), min_lines=MIN_LINES)
     target = u.where(F.col("owner") == "src4").select("norm_hash").distinct()
-    return near.neighbors(signatures(u), target, u.select("norm_hash").distinct(), 0.25).withColumn("similarity", round4(F.col("similarity")))
+    return near.neighbors(signatures(u), target, None, 0.25).withColumn("similarity", round4(F.col("similarity")))
 
 
 @query("blob_oids", "SELECT doc_id, sha1('blob ' || CAST(strlen(coalesce(text, '')) AS VARCHAR) || chr(0) || coalesce(text, '')) AS oid FROM documents")
@@ -109,9 +109,7 @@ FILES = "files AS (SELECT source AS root, source || '/' || lpad(CAST(doc_id AS V
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each source, its lines standing for units."""
     f = _files(spark, sf_dir)
-    lines = f.groupBy("oid").agg(F.max("lines").alias("lines"))
-    units_ = lines.select("oid", F.explode(F.sequence(F.lit(1), "lines")).alias("line"))
-    return store.status(f.select("root").distinct(), f, units_)
+    return store.status_of_counts(f.select("root").distinct(), f, f.groupBy("oid").agg(F.max("lines").alias("n")))
 
 
 @query("index_plan", f"WITH {FILES}, known AS (SELECT DISTINCT oid FROM files WHERE root IN ('src0', 'src1')) SELECT oid, min(path) AS path FROM files WHERE oid NOT IN (SELECT oid FROM known) GROUP BY oid")
@@ -173,9 +171,57 @@ def similar_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar(u, signatures(u), target, POLICY).withColumn("similarity", round4(F.col("similarity")))
 
 
-@query("resolve", "SELECT 'found' AS status, 1 AS matches, source || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, 1 AS line FROM documents WHERE doc_id = 7")
+RESOLVED = "{target!r} AS target, CASE count(*) WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status, count(*) AS matches, min({{'path': path, 'line': line}}).path AS path, min({{'path': path, 'line': line}}).line AS line FROM units"
+TARGETS = {"7": "id = '7'", "src4": "owner = 'src4'", "nothing#here": "false", "src4/000000000012:1": "path = 'src4/000000000012' AND line = 1"}
+
+
+@query("resolve", f"WITH {UNITS} " + " UNION ALL ".join(f"SELECT {RESOLVED.format(target=t)} WHERE {w}" for t, w in TARGETS.items()))
 def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.resolve(units(spark, sf_dir), "7")
+    """A unit by id, a source's name that many units answer to, a name that none has, and a place."""
+    u = units(spark, sf_dir).select("path", "line", "id", "owner")
+    named = u.select("path", "line", "id").unionByName(u.select("path", "line", F.col("owner").alias("id")))
+    found = [similar.resolve(named, t).withColumn("target", F.lit(t)) for t in TARGETS]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+LONG = 4
+
+
+@query("dupes_exact_long", f"WITH {UNITS}, tall AS (SELECT * FROM cand WHERE end_line >= {LONG}), heads AS (SELECT norm_hash, count(*) AS copies, min({{'path': path, 'line': line, 'nodes': nodes}}) AS h, bool_or(class NOT IN ('vendored', 'generated', 'migration')) AS shown FROM tall GROUP BY norm_hash HAVING count(*) >= 2) SELECT norm_hash, copies, h.nodes * (copies - 1) AS saves_nodes, h.path AS path FROM heads WHERE shown")
+def dupes_exact_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact groups of documents of four lines and more."""
+    return exact.groups(units(spark, sf_dir), POLICY, min_lines=LONG)[0].select("norm_hash", "copies", "saves_nodes", "path")
+
+
+WITHHELD = Policy({f"src{i}": "vendored" for i in range(20)})
+
+
+@query("dupes_all_withheld", f"WITH {UNITS}, g AS (SELECT norm_hash FROM cand GROUP BY norm_hash HAVING count(*) >= 2) SELECT 'vendored' AS class, count(*) AS n FROM g HAVING count(*) > 0")
+def dupes_all_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group is of withheld code if all sources are: their number is disclosed."""
+    return exact.groups(units(spark, sf_dir), WITHHELD, min_lines=MIN_LINES)[1]
+
+
+SCORED = "s AS (SELECT l.doc_id, l.quality = 1 AS t, CASE WHEN l.toxic = 0 THEN (d.n_chars % 100) / 100.0 END AS similarity FROM labels l JOIN documents d USING (doc_id))"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as pairs that are true or not, with a similarity for those that aren't toxic."""
+    d, labels = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels")
+    return labels.join(d, "doc_id").select((F.col("quality") == 1).alias("is_true"), F.when(F.col("toxic") == 0, (F.col("n_chars") % 100) / 100).alias("similarity"))
+
+
+@query("confusion", f"WITH {SCORED} SELECT count(*) FILTER (t AND similarity IS NOT NULL) AS tp, count(*) FILTER (NOT t AND similarity IS NOT NULL) AS fp, count(*) FILTER (t AND similarity IS NULL) AS fn, count(*) FILTER (NOT t AND similarity IS NULL) AS tn FROM s")
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(_scored(spark, sf_dir))
+
+
+@query("threshold_sweep", f"WITH {SCORED}, h AS (SELECT CAST(x / 100.0 AS DOUBLE) AS threshold FROM range(25, 96, 5) r(x)) SELECT threshold, count(*) FILTER (t AND coalesce(similarity >= threshold, false)) AS tp, count(*) FILTER (NOT t AND coalesce(similarity >= threshold, false)) AS fp, count(*) FILTER (t AND NOT coalesce(similarity >= threshold, false)) AS fn FROM s, h GROUP BY threshold")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.sweep(_scored(spark, sf_dir))
 
 
 ITEMS = r"items AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM benchmark)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,13 +37,39 @@ def overlaid(base: DataFrame, dirty: DataFrame) -> DataFrame:
     return base.join(dirty, "path", "left_anti").unionByName(dirty.where(F.col("oid").isNotNull()).select(*base.columns))
 
 
+def git_root(path: str) -> str | None:
+    """The top folder of the git checkout that a path is in; None if it is in none."""
+    got = subprocess.run(["git", "-C", path, "rev-parse", "--show-toplevel"], capture_output=True, text=True)
+    return got.stdout.strip() or None if got.returncode == 0 else None
+
+
+def listed(root: str) -> list[str] | None:
+    """The paths that git tracks below a folder and the untracked ones it doesn't ignore; None outside of git.
+
+    What is read of them is the working tree, so edits that aren't committed count and files
+    that are gone don't.
+    """
+    if git_root(root) is None:
+        return None
+    got = subprocess.run(["git", "-C", root, "ls-files", "-z", "--cached", "--others", "--exclude-standard"], capture_output=True)
+    if got.returncode:
+        raise OSError(got.stderr.decode(errors="replace").strip())
+    return sorted({p for p in got.stdout.decode("utf-8", "surrogateescape").split("\0") if p})
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(root, path, oid, lang, content) of the files below a folder whose language is known."""
+    """(root, path, oid, lang, content) of the files below a folder whose language is known.
+
+    In a git checkout those that `listed` names, else all.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = F.expr("path")
     base = root.rstrip("/")
     rel = F.regexp_replace(F.regexp_replace(at, r"^file:/+", "/"), "^" + base.replace(".", r"\.") + "/", "")
     rows = files.select(F.lit(base).alias("root"), rel.alias("path"), "content").withColumn("lang", language(F.col("path"))).where(F.col("lang").isNotNull())
+    names = listed(root)
+    if names is not None:
+        rows = rows.join(spark.createDataFrame([(n,) for n in names], "path string"), "path", "left_semi")
     return rows.withColumn("oid", blob_oid(F.col("content"))).select("root", "path", "oid", "lang", "content")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .functions import text
+from .functions.hashing import config_key
 from .functions.paths import Policy
 from .functions.vectors import FLOORS, afford, hash_embed, shortened
 from .operators import canonical, exact, near, search, similar, store, summary
@@ -25,7 +26,10 @@ FILE = "root string, path string, oid string"
 BLOB = "oid string, lines int"
 SIGNATURE = "norm_hash string, subtree_hash long, nodes int, parent_hash long"
 SUMMARY = "norm_hash string, ctx_hash string, prompt string, model string, via string, variant string, level string, json string, created_at long"
+VECTOR = "config_key long, text_key string, vec array<float>"
 PROMPT = "1"
+#: The key of the built-in embedder's vectors, as a signed number.
+CONFIG = config_key("hash", "fnv1a") - (1 << 64) if config_key("hash", "fnv1a") >> 63 else config_key("hash", "fnv1a")
 
 
 class Workspace:
@@ -84,11 +88,25 @@ class Workspace:
         t = text.text_of(F.col("summary"), text.identifier_text(F.col("owner"), F.col("name"), F.col("params")))
         return u.withColumn("_t", t).withColumn("text", F.col("_t.text")).withColumn("vec_via", F.col("_t.via")).drop("_t").withColumn("unit", F.concat_ws("\u0001", "path", F.lpad(F.col("line").cast("string"), 9, "0"), "id"))
 
+    def vectors(self) -> DataFrame:
+        return self._read("vector", VECTOR)
+
+    def fill(self, units: DataFrame, budget: float | None = 300.0) -> int:
+        """Embed and keep the texts of units that have no vector yet; how many. Refused if it would take longer than the budget."""
+        wanted = units.where(F.col("text").isNotNull()).withColumn("text_key", F.md5("text"))
+        new = store.missing_vectors(wanted, self.vectors(), CONFIG)
+        n = new.count()
+        afford("hash", n, self.spark.sparkContext.defaultParallelism, budget)
+        if n:
+            vec = new.withColumn("raw", hash_embed("text")).select(F.lit(CONFIG).alias("config_key"), "text_key", F.transform(shortened(F.col("raw")), lambda x: x.cast("float")).alias("vec"))
+            self._append(vec, "vector")
+        return n
+
     def embedded(self, units: DataFrame, budget: float | None = 300.0) -> DataFrame:
-        """units with vec and tokens; refused if embedding would take longer than the budget."""
-        afford("hash", units.select("text").distinct().count(), self.spark.sparkContext.defaultParallelism, budget)
-        vec = units.where(F.col("text").isNotNull()).select("text").distinct().withColumn("raw", hash_embed("text")).select("text", shortened(F.col("raw")).alias("vec"))
-        return units.join(vec, "text", "left").withColumn("tokens", text.tokens(text.humanize(F.col("id"))))
+        """units with vec and tokens; only texts that were never embedded are."""
+        self.fill(units, budget)
+        keyed = units.withColumn("text_key", F.md5("text"))
+        return store.with_vectors(keyed, self.vectors().dropDuplicates(["config_key", "text_key"]), CONFIG).drop("text_key").withColumn("tokens", text.tokens(text.humanize(F.col("id"))))
 
     def summaries(self) -> DataFrame:
         return self._read("summary", SUMMARY, self.purchased)
