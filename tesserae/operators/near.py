@@ -22,8 +22,7 @@ def sets(signatures: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
     """
     if bodies is not None:
         signatures = signatures.join(bodies.select("norm_hash").distinct(), "norm_hash", "left_semi")
-    whole = signatures.groupBy("norm_hash").agg(F.collect_set("subtree_hash").alias("shapes"))
-    return whole.select("norm_hash", F.size("shapes").alias("n"), F.explode("shapes").alias("subtree_hash"))
+    return whole_sets(signatures).select("norm_hash", F.size("shapes").alias("n"), F.explode("shapes").alias("subtree_hash"))
 
 
 def shared_shapes(s: DataFrame, common: int) -> DataFrame:
@@ -98,11 +97,15 @@ def neighbors(signatures: DataFrame, target: DataFrame, bodies: DataFrame | None
     return met.withColumn("similarity", j).where(F.col("similarity") >= threshold).select("target", "norm_hash", "shared", "similarity")
 
 
-def neighbors_of(signatures: DataFrame, body: str, threshold: float = THRESHOLD_F32) -> DataFrame:
-    """(norm_hash, shared, similarity) of bodies near one body: one pass over the shapes, each marked if the body has it."""
-    own = signatures.where(F.col("norm_hash") == body).select("subtree_hash").distinct().withColumn("_own", F.lit(1))
-    rows = signatures.join(F.broadcast(own), "subtree_hash", "left").select("norm_hash", "subtree_hash", "_own").distinct()
-    met = rows.groupBy("norm_hash").agg(F.count(F.lit(1)).alias("n"), F.count("_own").alias("shared")).where("shared > 0")
-    size = own.agg(F.count(F.lit(1)).alias("of_target"))
-    j = F.col("shared") / F.greatest(F.col("n") + F.col("of_target") - F.col("shared"), F.lit(1))
-    return met.where(F.col("norm_hash") != body).crossJoin(F.broadcast(size)).withColumn("similarity", j).where(F.col("similarity") >= threshold).select("norm_hash", "shared", "similarity")
+def whole_sets(signatures: DataFrame) -> DataFrame:
+    """(norm_hash, shapes): each body with the array of its distinct shapes, as many as its nodes at most."""
+    return signatures.groupBy("norm_hash").agg(F.collect_set("subtree_hash").alias("shapes"))
+
+
+def neighbors_of(bodies: DataFrame, body: str, threshold: float = THRESHOLD_F32) -> DataFrame:
+    """(norm_hash, shared, similarity) of bodies (norm_hash, shapes) near one of them: one pass, and only results are shuffled."""
+    own = bodies.where(F.col("norm_hash") == body).select("shapes").limit(1).collect()
+    mine = F.array(*[F.lit(h) for h in own[0]["shapes"]]) if own and own[0]["shapes"] else F.array().cast("array<long>")
+    met = bodies.where(F.col("norm_hash") != body).select("norm_hash", F.size("shapes").alias("n"), F.size(F.array_intersect("shapes", mine)).cast("long").alias("shared"))
+    j = F.col("shared") / F.greatest(F.col("n") + F.size(mine) - F.col("shared"), F.lit(1))
+    return met.withColumn("similarity", j).where((F.col("shared") > 0) & (F.col("similarity") >= threshold)).select("norm_hash", "shared", "similarity").distinct()

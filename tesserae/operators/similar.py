@@ -33,13 +33,14 @@ def suggestions(units: DataFrame, target: str, n: int = SUGGESTIONS) -> DataFram
 
 
 def similar(
-    units: DataFrame, signatures: DataFrame, target: DataFrame, policy: Policy | None = None, *, floor: float = 0.0, limit: int = 10, threshold: float = near.THRESHOLD_F32
+    units: DataFrame, signatures: DataFrame | None, target: DataFrame, policy: Policy | None = None, *, floor: float = 0.0, limit: int = 10, threshold: float = near.THRESHOLD_F32, bodies: DataFrame | None = None
 ) -> DataFrame:
     """(tier, path, line, unit, similarity, rank) for one target unit (a one-row frame of units).
 
     First bodies that hash alike at another place, then bodies whose shapes are near, then
     vectors; a unit is in the first tier that claims it.  The target's row is read first, so
-    every tier compares with plain values and units are read once.
+    every tier compares with plain values and units are read once.  Shapes come as signatures or,
+    where they are at hand as sets, as bodies (norm_hash, shapes).
     """
     policy = policy or Policy()
     cols = ("tier", "path", "line", "unit", "similarity", "rank")
@@ -57,7 +58,7 @@ def similar(
         similarity = F.when(F.col("vec").isNotNull(), close)
         tier = F.when(F.col("vec").isNotNull() & (close >= floor), 2)
     if t["norm_hash"] is not None:
-        near_ = near.neighbors_of(signatures, t["norm_hash"], threshold).select("norm_hash", F.col("similarity").alias("_near"))
+        near_ = near.neighbors_of(near.whole_sets(signatures) if bodies is None else bodies, t["norm_hash"], threshold).select("norm_hash", F.col("similarity").alias("_near"))
         others = others.join(near_, "norm_hash", "left")
         same = F.coalesce(F.col("norm_hash") == t["norm_hash"], F.lit(False))
         similarity = F.when(same, 1.0).when(F.col("_near").isNotNull(), F.col("_near")).otherwise(similarity)

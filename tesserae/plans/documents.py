@@ -42,11 +42,16 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def signatures(rows: DataFrame, size: int = 5) -> DataFrame:
-    """Flat signatures: the hash of each run of `size` tokens of a body, once for each body."""
+def shape_sets(rows: DataFrame, size: int = 5) -> DataFrame:
+    """(norm_hash, shapes): the hashes of the runs of `size` tokens of each row with a body; copies repeat."""
     bodies = rows.where(F.col("norm_hash").isNotNull()).select("norm_hash", "tokens")
     run = lambda t: F.when(F.size(t) >= size, F.transform(F.sequence(F.lit(0), F.size(t) - size), lambda i: F.xxhash64(*[t[i + k] for k in range(size)]))).otherwise(F.array().cast("array<long>"))
-    return bodies.select("norm_hash", F.explode(F.array_distinct(let(F.col("tokens"), run))).alias("subtree_hash"))
+    return bodies.select("norm_hash", F.array_distinct(let(F.col("tokens"), run)).alias("shapes"))
+
+
+def signatures(rows: DataFrame, size: int = 5) -> DataFrame:
+    """Flat signatures: the hash of each run of `size` tokens of a body."""
+    return shape_sets(rows, size).select("norm_hash", F.explode("shapes").alias("subtree_hash"))
 
 
 @query("dupes_exact", f"WITH {UNITS}, {GROUPS} SELECT norm_hash, h.lang, copies, h.lines AS lines, h.nodes AS nodes, h.nodes * (copies - 1) AS saves_nodes, CASE WHEN lo = hi THEN lo ELSE 'mixed' END AS population, h.path AS path, h.line AS line FROM heads WHERE shown")
@@ -164,11 +169,14 @@ SELECT CASE tier WHEN 0 THEN 'structural' WHEN 1 THEN 'near' ELSE 'semantic' END
 )
 def similar_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 closest to the first document that has a copy: copies, near copies, then by vectors."""
-    u = units(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id", "left").withColumn("unit", F.col("doc_id"))
-    twice = u.where(F.col("norm_hash").isNotNull()).groupBy("norm_hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("norm_hash")
-    shown = u.where(POLICY.reported(POLICY.of(F.col("path"))))
-    target = shown.join(twice, "norm_hash", "left_semi").orderBy("path").limit(1)
-    return similar.similar(u, signatures(u), target, POLICY).withColumn("similarity", round4(F.col("similarity")))
+    base = units(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    u = base.drop("tokens").join(vectors, "doc_id", "left").withColumn("unit", F.col("doc_id"))
+    hashes = base.select("path", "norm_hash").where(F.col("norm_hash").isNotNull())
+    groups = hashes.groupBy("norm_hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(POLICY.reported(POLICY.of(F.col("path"))), F.col("path"))).alias("path"))
+    first = groups.where("c > 1").agg(F.min("path").alias("p")).first()["p"]
+    target = u.where(F.col("path") == F.lit(first).cast("string"))
+    return similar.similar(u, None, target, POLICY, bodies=shape_sets(base)).withColumn("similarity", round4(F.col("similarity")))
 
 
 RESOLVED = "{target!r} AS target, CASE count(*) WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status, count(*) AS matches, min({{'path': path, 'line': line}}).path AS path, min({{'path': path, 'line': line}}).line AS line FROM units"
