@@ -14,7 +14,7 @@ flips at most one bit, so the popcount of the exclusive or is at most the symmet
 difference.  Pairs that pass are settled by intersecting the sorted arrays exactly.
 
 Classes already joined through other links are not compared again: first every set is
-compared with one hub of its segments, some times over, then only pairs across the components
+compared with hubs of its segments, some times over, then only pairs across the components
 so found, each pair in the one of their common segments whose key is least.
 Large segments are cut into blocks, and blocks are compared two by two in tasks of their own.
 """
@@ -34,8 +34,10 @@ from .storage import drop, kept, scratch
 
 #: Rows of a segment compared in one task; larger ones are cut into blocks of this many.
 BLOCK = 1024
-#: Times that sets are compared with one hub each before what is left is compared in pairs.
-TURNS = 3
+#: Rows of an open segment up to which a pair may be compared in several of them.
+SMALL = 8
+#: Times that sets are compared with hubs before what is left is compared in pairs, and with how many each.
+TURNS, HUBS = 2, 4
 #: Ids that are broadcast at most (8 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 500_000
 #: Bits of a bitmap at most, so that a block of them stays small.
@@ -253,7 +255,8 @@ def _met(keys: pa.ListArray, below: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def _tile(table: pa.Table, num: int, den: int) -> pa.Table:
     """Pairs of one block pair, across components, that their bitmaps let pass.
 
-    A pair that also shares an open segment of a smaller key is left to that one.
+    A pair that also shares an open segment of a smaller key is left to that one; in segments of
+    few rows nobody asks.
     """
     node, comp, n, half = (table.column(c).to_numpy() for c in ("node", "comp", "n", "half"))
     bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
@@ -335,14 +338,15 @@ def _open_segments(placed: DataFrame) -> DataFrame:
 
 
 def _star(placed: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each node with the hub that it shares most segments with, if that is of another component.
+    """(a, b): each node with the HUBS hubs that it shares most segments with, of those of other components.
 
     A segment's hub is one of its members, drawn by a hash that differs from turn to turn.
     """
     drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "comp")
     hubs = placed.groupBy("key").agg(F.min(drawn).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "hub")
     met = placed.join(hubs, "key").where("comp != hub.comp").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
-    best = met.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("best"))
+    ranked = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("shared", "hub")), asc=False).alias("hubs"))
+    best = ranked.select("node", F.explode(F.slice("hubs", 1, HUBS)).alias("best"))
     return best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct()
 
 
@@ -376,13 +380,15 @@ def _linked_classes(docs: DataFrame, feats: DataFrame, classes: DataFrame, size:
     dealt = placed.withColumn("nb", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     spread = dealt.select("*", other.alias("with")).select(
-        "key", "node", "comp", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1).alias("half")
+        "key", "node", "comp", "rows", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1).alias("half")
     )
 
     def compare(table: pa.Table) -> pa.Table:
         return _tile(table, num, den)
 
-    pairs = kept(spread.join(told, "node").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "likely")
+    less = F.filter("keys", lambda k: k < F.col("key"))
+    tiles = spread.join(told, "node").withColumn("keys", F.when(F.col("rows") > SMALL, less).otherwise(F.array().cast("array<long>")))
+    pairs = kept(tiles.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "likely")
     more = kept(_verified(pairs, sets, num, den), "links")
     return wanted, kept(components(edges.unionByName(more)), "components")
 
