@@ -82,3 +82,16 @@ def test_odd_rows(spark, tmp_path):
             assert name == "tokens" or docs.columns == df.columns
         got = docs.collect()
         assert len(got) <= len(rows)
+
+
+def test_rows_are_judged_as_rows(spark):
+    """Near copies, contaminated texts and repeated rows, some without an id: which rows stay."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    words = [f"w{i * 7919 % 1000}" for i in range(120)]
+    base, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(1, base), (2, near), (None, near), (4, f"before {item} behind"), (None, f"before {item} behind them"), (None, "a text of its own, without an id"), (6, "one more"), (6, "one more"), (6, "two texts under one id")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, keeper int")
+    alike = cp.near_duplicates(spark, docs, SF).drop("keeper")
+    assert sorted(map(str, (tuple(r) for r in alike.collect()))) == sorted(map(str, [(1, base), *rows[3:4], rows[5], rows[6], rows[8]]))
+    clean = cp.decontamination(spark, docs, SF).drop("keeper")
+    assert sorted(map(str, (tuple(r) for r in clean.collect()))) == sorted(map(str, [*rows[:3], *rows[5:]]))

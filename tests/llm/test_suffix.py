@@ -45,7 +45,7 @@ def corpus(seed, n=80):
     return rows + [(2000 + k, rows[k][1]) for k in range(10)]
 
 
-@pytest.mark.parametrize(("seed", "crowded"), [(1, 8192), (2, 3), (3, 1), (4, 8192)])
+@pytest.mark.parametrize(("seed", "crowded"), [(1, 8192), (2, 3), (3, 1), (4, 8192), (5, 1)])
 def test_matches_brute_force(spark, seed, crowded, monkeypatch):
     monkeypatch.setattr(suffix, "CROWDED", crowded)
     rows = corpus(seed)
@@ -82,3 +82,15 @@ def test_odd_rows(spark):
     assert got[4] == [(250, 249, 1)] and got[7] == [(120, 120, 1)] and got[None] == [(120, 119, 1)]
     assert got[9] == [(200_000, 200_000, 1)] and len(got[11]) == 2
     assert repeated_passages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 3])
+def test_texts_under_one_id_are_places_of_their_own(spark, doc_id):
+    rng = random.Random(6)
+    fresh = "".join(rng.choice("abcdefghij") for _ in range(600))
+    line = "".join(rng.choice("klmnop") for _ in range(205))
+    df = spark.createDataFrame([(doc_id, line + line), (doc_id, fresh), (9, fresh)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in repeated_passages(df).collect()}
+    assert got == {(doc_id, 410): 205, (doc_id, 600): 0, (9, 600): 600}
+    kept = {(r.doc_id, r.text) for r in suffix.without_repeats(df).collect()}
+    assert kept == {(doc_id, line), (doc_id, fresh), (9, "")}
