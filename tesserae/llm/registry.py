@@ -61,8 +61,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stupid-backoff score of every document under the bigrams of all documents; what no other has backs off."""
-    return lm.scores(table(spark, sf_dir, "documents"))
+    """The stupid-backoff score of every document under all bigrams of all documents, its own included."""
+    return lm.scores(table(spark, sf_dir, "documents"), leave_out=False)
 
 
 @query
@@ -119,9 +119,8 @@ e AS (SELECT doc_id, unnest(w) AS b, generate_subscripts(w, 1) AS i FROM t),
 g AS (SELECT doc_id, lag(b) OVER (PARTITION BY doc_id ORDER BY i) AS a, b FROM e),
 one AS (SELECT b, count(*) AS n FROM g GROUP BY b),
 two AS (SELECT a, b, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b),
-own AS (SELECT doc_id, a, b, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY doc_id, a, b),
-s AS (SELECT g.doc_id, CASE WHEN g.a IS NULL THEN ln(o.n / CAST((SELECT count(*) FROM g) AS DOUBLE)) WHEN two.n > own.n THEN ln(two.n / CAST(c.n AS DOUBLE)) ELSE ln(0.4 * o.n / (SELECT count(*) FROM g)) END AS l
-  FROM g JOIN one o ON o.b = g.b LEFT JOIN own ON own.doc_id = g.doc_id AND own.a = g.a AND own.b = g.b LEFT JOIN two ON two.a = g.a AND two.b = g.b LEFT JOIN one c ON c.b = g.a),
+s AS (SELECT g.doc_id, CASE WHEN g.a IS NULL THEN ln(o.n / CAST((SELECT count(*) FROM g) AS DOUBLE)) WHEN two.n IS NOT NULL THEN ln(two.n / CAST(c.n AS DOUBLE)) ELSE ln(0.4 * o.n / (SELECT count(*) FROM g)) END AS l
+  FROM g JOIN one o ON o.b = g.b LEFT JOIN two ON two.a = g.a AND two.b = g.b LEFT JOIN one c ON c.b = g.a),
 d AS (SELECT doc_id, count(*) AS n_words, sum(l) AS s FROM s GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(s, 0), 4) AS log_score, CASE WHEN n_words > 0 THEN round(s / n_words, 4) END AS mean_log_score FROM documents LEFT JOIN d USING (doc_id)
 """
