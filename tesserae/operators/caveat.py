@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def within(points: DataFrame, spans: DataFrame, key: str, at: str, lo: str, hi: str) -> DataFrame:
-    """Points of the same key that lie in a span, both ends included: an equi join with a residual."""
-    return spans.join(points, key).where(F.col(at).between(F.col(lo), F.col(hi)))
+def within(points: DataFrame, spans: DataFrame, key: str, at: str, lo: str, hi: str, width: int = 256) -> DataFrame:
+    """Points of the same key that lie in a span, both ends included.
+
+    Both sides are dealt by key and bucket of `width`, a span to every bucket that it touches, so a
+    point meets only spans that are near it, and a key with many rows is spread over its buckets.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    touched = spans.where(F.col(lo) <= F.col(hi)).withColumn("_bucket", F.explode(F.sequence(bucket(lo), bucket(hi))))
+    return touched.join(points.withColumn("_bucket", bucket(at)), [key, "_bucket"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("_bucket")
 
 
 def ancestors(nesting: Column) -> Column:

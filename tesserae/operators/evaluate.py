@@ -65,6 +65,12 @@ def floors(answers: DataFrame, distractors: DataFrame, value: str = "cosine") ->
     return a.crossJoin(t).groupBy("floor").agg(F.count_if(F.col("is_answer") & (F.col("v") >= F.col("floor"))).alias("answers_kept"), F.count_if(~F.col("is_answer") & (F.col("v") < F.col("floor"))).alias("distractors_cut"))
 
 
+def best_distractor(scores: DataFrame, labels: DataFrame, value: str = "cosine") -> DataFrame:
+    """(query_id, best): the highest value that an id other than the expected one has, null if there is none."""
+    r = scores.join(labels.select("query_id", "expected"), "query_id")
+    return r.groupBy("query_id").agg(F.max(F.when(F.col("id") != F.col("expected"), F.col(value))).alias("best"))
+
+
 TIER_STRENGTH = {"structural": 0, "near": 1, "semantic": 2}
 
 

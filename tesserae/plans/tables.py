@@ -156,7 +156,7 @@ def interval_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many events of the same user fall within a day from each purchase."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
     spans = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span"), F.col("at").alias("lo"), (F.col("at") + 86400).alias("hi"))
-    return caveat.within(e.select("user_id", "at"), spans, "user_id", "at", "lo", "hi").groupBy("span").agg(F.count(F.lit(1)).alias("reads"))
+    return caveat.within(e.select("user_id", "at"), spans, "user_id", "at", "lo", "hi", 86400).groupBy("span").agg(F.count(F.lit(1)).alias("reads"))
 
 
 @query("scope_resolution", "WITH r AS (SELECT DISTINCT l_returnflag AS name, p_brand || '::' || p_type || '::' || CAST(p_size AS VARCHAR) AS nesting, p_brand AS a, p_brand || '::' || p_type AS b FROM lineitem JOIN part ON p_partkey = l_partkey), d AS (SELECT DISTINCT l_returnflag AS name, CASE WHEN l_linenumber = 1 THEN p_brand ELSE p_brand || '::' || p_type END AS parent FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48) SELECT r.name, nesting, CASE WHEN x.parent IS NOT NULL THEN x.parent ELSE y.parent END AS reached FROM r LEFT JOIN d x ON x.name = r.name AND x.parent = b LEFT JOIN d y ON y.name = r.name AND y.parent = a")

@@ -232,3 +232,19 @@ def test_evaluation(spark):
     sim = evaluate.similar_score(spark.createDataFrame([("p", "n", "near")], "probe string, neighbour string, tier string"), spark.createDataFrame([("p", "n", "must", "near"), ("p", "n", "must_not", "structural"), ("p", "n", "must_not", None), ("p", "o", "must_not", None)], "probe string, neighbour string, rule string, tier string"))
     assert [r.ok for r in sim.orderBy("neighbour", "rule", F.col("tier").desc_nulls_last()).collect()] == [True, True, False, True]
     assert tuple(evaluate.canonical_score(spark.createDataFrame([(1, "a"), (2, None)], "grp int, pick string"), spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "grp int, expected string")).first()) == (1, 0, 2)
+
+
+def test_within_meets_each_point_once(spark):
+    """Spans over several buckets, ends included, reversed and null ones; buckets don't change the result."""
+    spans = [(k, i, lo, lo + w) for k in "ab" for i, (lo, w) in enumerate([(-700, 1500), (0, 0), (255, 1), (256, 256), (5, -1)])] + [("a", 9, None, 4), (None, 9, 0, 9)]
+    points = [(k, at) for k in ("a", "c", None) for at in (-700, -1, 0, 255, 256, 511, 512, 800, 801)] + [("a", 0), ("a", None)]
+    want = sorted((k, i, at) for k, i, lo, hi in spans for key, at in points if k == key and None not in (k, lo, at) and lo <= at <= hi)
+    s, p = spark.createDataFrame(spans, "k string, span int, lo int, hi int"), spark.createDataFrame(points, "k string, at int")
+    for width in (256, 7, 100_000):
+        assert sorted((r.k, r.span, r["at"]) for r in caveat.within(p, s, "k", "at", "lo", "hi", width).collect()) == want
+
+
+def test_best_distractor(spark):
+    scores = spark.createDataFrame([(1, "x", 0.9), (1, "y", 0.4), (1, "z", 0.6), (2, "x", 0.5), (3, "x", 0.1)], "query_id int, id string, cosine double")
+    labels = spark.createDataFrame([(1, "x"), (2, "x")], "query_id int, expected string")
+    assert {r.query_id: r.best for r in evaluate.best_distractor(scores, labels).collect()} == {1: 0.6, 2: None}
