@@ -76,7 +76,8 @@ class Encoder:
                 self.spelled.append(token)
             self.joins.setdefault(pair, rank)
         self.id_of = [ids[t] for t in self.spelled]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in self.id_of]
+        self.pairs = _Pairs(self)
         self.specials = specials
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
         #: The public pattern that parts a text into words before merging.
@@ -112,18 +113,15 @@ class Encoder:
 
         Walks the seam between them from the last merges down to single bytes.  A pair on
         the seam that merges earlier than the later-made of its two sides would have been
-        joined first.  `below`: the pair itself may merge into this token.
+        joined first.  `below`: the pair itself may merge into this token.  `pairs` remembers
+        the answers.
         """
-        key = (left, right)
-        if below is None and (known := self.pairs.get(key)) is not None:
-            return known
-        limit, ok = below if below is not None else len(self.parts), True
+        limit = below if below is not None else len(self.parts)
         a, b = left, right
         while True:
             joined = self.joins.get((a, b))
             if joined is not None and joined < limit:
-                ok = False
-                break
+                return False
             # undo whichever of the two was made later; then only earlier merges could clash
             if a > b:
                 limit = a
@@ -132,7 +130,7 @@ class Encoder:
                     limit = b + 1
                     b = self.parts[b][0]
                     if b + 1 == limit:
-                        break
+                        return True
             else:
                 limit = b + 1
                 b = self.parts[b][0]
@@ -140,33 +138,40 @@ class Encoder:
                     limit = a
                     a = self.parts[a][1]
                     if a == limit:
-                        break
-        if below is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = ok
-        return ok
+                        return True
+
+    def word_ids(self, word: bytes) -> bytes:
+        """Packed token ids of one word.
 
-    def word_ids(self, word: bytes) -> list[int]:
-        """Token ids of one word."""
-        text, n = word.decode("latin-1"), len(word)
-        longest = lambda at: next(self.matcher.iter_long(text, at))[1]
+        One walk of the automaton gives the longest token at the start, at its end, and so on.
+        Up to the first pair that isn't compatible these are the answer; from there on the
+        encoder steps back.
+        """
+        text, pairs = word.decode("latin-1"), self.pairs
+        longest = [r for _, r in self.matcher.iter_long(text)]
+        for i, pair in enumerate(zip(longest, longest[1:], strict=False)):
+            if not pairs[pair]:
+                return self._stepped_back(text, longest[: i + 1], longest[i + 1])
+        return b"".join([self.id_bytes[t] for t in longest])
+
+    def _stepped_back(self, text: str, taken: list[int], token: int) -> bytes:
+        """Packed token ids of a text whose first tokens are `taken` and whose next longest is `token`."""
+        n, pairs = len(text), self.pairs
         dead = bytearray(n + 1)
-        taken: list[int] = []
-        at, token = 0, longest(0)
+        at = sum(len(self.spelled[t]) for t in taken)
         while True:
             before = taken[-1] if taken else -1
             while token >= 0:
                 end = at + len(self.spelled[token])
-                if not dead[end] and (before < 0 or self.compatible(before, token)):
+                if not dead[end] and (before < 0 or pairs[before, token]):
                     break
                 token = self.shorter[token]
             if token >= 0:
                 taken.append(token)
                 at = end
                 if at == n:
-                    return [self.id_of[t] for t in taken]
-                token = longest(at)
+                    return b"".join([self.id_bytes[t] for t in taken])
+                token = next(self.matcher.iter_long(text, at))[1]
             else:
                 dead[at] = 1
                 last = taken.pop()
@@ -180,8 +185,6 @@ class Encoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        if len(self.words) > WORDS:
-            self.words.clear()
         return b"".join(map(self.words.__getitem__, self.word.findall(text)))
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
@@ -196,15 +199,37 @@ class Encoder:
         return [out[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+class _Pairs(dict):
+    """The pair-compatibility table, filled as it is asked."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+
+    def __missing__(self, pair: tuple[int, int]) -> bool:
+        if len(self) >= PAIRS:
+            self.clear()
+        ok = self[pair] = self.encoder.compatible(*pair)
+        return ok
+
+
 class _Words(dict):
-    """Packed ids of words, filled as they are asked for."""
+    """Packed ids of words, filled as they are asked for.
+
+    Words that were asked for since the last ageing but one stay, so common words outlive rare ones.
+    """
 
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        out = np.array(self.encoder.word_ids(word.encode()), "<u4").tobytes()
+        out = self.older.get(word)
+        if out is None:
+            out = self.encoder.word_ids(word.encode())
         if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS:
+                self.older = dict(self)
+                self.clear()
             self[word] = out
         return out
 
