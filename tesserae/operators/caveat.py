@@ -47,3 +47,36 @@ def caveats(members: DataFrame, reads: DataFrame, definitions: DataFrame) -> Dat
     two = inside.groupBy("grp", "name").agg(F.countDistinct("nesting").alias("n")).where("n >= 2").select("grp", "name")
     found = resolved(inside.join(two, ["grp", "name"], "left_semi").select("grp", "name", "nesting").distinct(), definitions)
     return found.groupBy("grp", "name").agg(F.countDistinct("reached").alias("n")).where("n > 1").select("grp", "name")
+
+
+def oldest(spans: DataFrame, lines: DataFrame) -> DataFrame:
+    """(path, line, end_line, age): the least author time of the lines (path, at, time) of each span; null if none is known."""
+    s = spans.select("path", "line", "end_line").distinct()
+    m = within(lines.select("path", "at", "time"), s, "path", "at", "line", "end_line").groupBy("path", "line", "end_line").agg(F.min("time").alias("age"))
+    return s.join(m, ["path", "line", "end_line"], "left")
+
+
+def definitions(answers: DataFrame) -> DataFrame:
+    """(name, status, parents) of a definition finder's JSON answers (name, json).
+
+    status 'found': parents are the distinct scopes that define exactly this name, the top
+    level being empty.  An object saying no_match is 'none', a true zero.  Anything else is
+    'unavailable', which is not zero.
+    """
+    rows = F.from_json("json", "array<struct<name:string,parent:string>>")
+    isarray = F.coalesce(F.ltrim(F.col("json")).startswith("["), F.lit(False)) & rows.isNotNull() & F.coalesce(F.json_array_length("json").isNotNull(), F.lit(False))
+    own = F.array_sort(F.array_distinct(F.transform(F.filter(rows, lambda r: r["name"] == F.col("name")), lambda r: F.coalesce(r["parent"], F.lit("")))))
+    missed = F.get_json_object("json", "$.status") == "no_match"
+    status = F.when(isarray, "found").when(F.coalesce(missed, F.lit(False)), "none").otherwise("unavailable")
+    none = F.array().cast("array<string>")
+    return answers.select("name", status.alias("status"), F.when(isarray, own).otherwise(none).alias("parents"))
+
+
+def references(answers: DataFrame) -> DataFrame:
+    """(id, confirmed, possible, reason) of a reference counter's JSON answers (id, json); nulls with a reason if it gave none."""
+    field = lambda p: F.get_json_object("json", p)
+    c, p = field("$.counts.confirmed").cast("long"), field("$.counts.possible").cast("long")
+    why, hint = field("$.reason"), field("$.hint")
+    told = why.isNull() & c.isNotNull() & p.isNotNull()
+    reason = F.when(why.isNotNull(), F.concat_ws("; ", why, hint)).when(~told, "no counts")
+    return answers.select("id", F.when(told, c).alias("confirmed"), F.when(told, p).alias("possible"), reason.alias("reason"))

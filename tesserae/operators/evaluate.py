@@ -86,3 +86,51 @@ def canonical_score(picks: DataFrame, labels: DataFrame) -> DataFrame:
     """One row (correct, wrong, abstained) for picks (grp, pick) and labels (grp, expected)."""
     r = labels.join(picks.select("grp", "pick"), "grp", "left")
     return r.agg(F.count_if(F.col("pick") == F.col("expected")).alias("correct"), F.count_if(F.col("pick") != F.col("expected")).alias("wrong"), F.count_if(F.col("pick").isNull()).alias("abstained"))
+
+
+def tier_score(reported: DataFrame, labels: DataFrame, known: DataFrame, min_lines: int = 0) -> DataFrame:
+    """One row (tp, fp, fn, unknown, smallest_true, largest_false) of a tier.
+
+    reported: a, b, lines, in either order; labels: a, b, is_true; known: id.  A pair of which
+    one side isn't known counts as unknown only.  A pair below min_lines isn't reported.
+    smallest_true and largest_false are lines, null if there is no such pair.
+    """
+    r = reported.select(*pair_key(F.col("a"), F.col("b")), "lines").groupBy("lo", "hi").agg(F.max("lines").alias("lines"))
+    ids = known.select("id").distinct()
+    sides = [ids.select(F.col("id").alias(k), F.lit(True).alias(f"has_{k}")) for k in ("lo", "hi")]
+    rows = labels.select(*pair_key(F.col("a"), F.col("b")), "is_true").join(r, ["lo", "hi"], "left")
+    for s, k in zip(sides, ("lo", "hi"), strict=True):
+        rows = rows.join(s, k, "left")
+    ok = F.col("has_lo").isNotNull() & F.col("has_hi").isNotNull()
+    hit, true = F.coalesce(F.col("lines") >= min_lines, F.lit(False)), F.col("is_true")
+    return rows.agg(
+        F.count_if(ok & true & hit).alias("tp"), F.count_if(ok & ~true & hit).alias("fp"), F.count_if(ok & true & ~hit).alias("fn"), F.count_if(~ok).alias("unknown"),
+        F.min(F.when(ok & true & hit, F.col("lines"))).alias("smallest_true"), F.max(F.when(ok & ~true & hit, F.col("lines"))).alias("largest_false"),
+    )
+
+
+def measured_sweep(scored: DataFrame, measures: tuple[str, ...] = ("nodes", "shapes"), lo: int = 25, hi: int = 95, step: int = 5) -> DataFrame:
+    """(measure, threshold, tp, fp, fn, short_found, short_total, short_false) of each measure and threshold.
+
+    scored: is_true, short, and a column for each measure.  Short labels count in all columns,
+    and by themselves in the last three.
+    """
+    t = F.broadcast(scored.sparkSession.range(lo, hi + 1, step).select((F.col("id") / 100).alias("threshold")))
+    long = scored.select("is_true", "short", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures])).alias("m"))
+    hit, true, short = F.coalesce(F.col("m.v") >= F.col("threshold"), F.lit(False)), F.col("is_true"), F.col("short")
+    return long.crossJoin(t).groupBy(F.col("m.measure").alias("measure"), "threshold").agg(
+        F.count_if(true & hit).alias("tp"), F.count_if(~true & hit).alias("fp"), F.count_if(true & ~hit).alias("fn"),
+        F.count_if(short & true & hit).alias("short_found"), F.count_if(short & true).alias("short_total"), F.count_if(short & ~true & hit).alias("short_false"),
+    )
+
+
+def signal_score(signals: DataFrame, labels: DataFrame) -> DataFrame:
+    """(signal, correct, wrong, silent) of signals (grp, signal, pick) on labels (grp, expected)."""
+    r = signals.join(labels.select("grp", "expected"), "grp")
+    right = F.col("pick") == F.col("expected")
+    return r.groupBy("signal").agg(F.count_if(right).alias("correct"), F.count_if(~right).alias("wrong"), F.count_if(F.col("pick").isNull()).alias("silent"))
+
+
+def rate(part: int, of: int) -> str:
+    """A share with its denominator; n/a of nothing."""
+    return f"{part}/{of} ({100 * part / of:.0f} %)" if of else "n/a"

@@ -54,3 +54,35 @@ def members(units: DataFrame, found: DataFrame, *, scope: str | None = None, min
 def ranked(found: DataFrame) -> DataFrame:
     """Report order: app and mixed first, then by what is saved, then by place."""
     return found.orderBy(~F.col("population").isin("app", "mixed"), F.desc("saves_nodes"), "path", "line")
+
+
+def near_groups(pairs: DataFrame, units: DataFrame, policy: Policy | None = None) -> tuple[DataFrame, DataFrame]:
+    """(groups, withheld) of near pairs (a, b, similarity, shared_nodes), in the columns of `groups`.
+
+    A group is the first unit of each body; what merging saves is the shared nodes.  It is
+    withheld like an exact group.
+    """
+    policy = policy or Policy()
+    lines = F.col("end_line") + 1 - F.col("line")
+    first = F.min(F.struct("path", "line", "lang", lines.alias("lines"), F.coalesce("nodes", F.lit(0)).alias("nodes"), "class"))
+    u = units.withColumn("class", policy.of_unit(F.col("path"), F.col("lang"), F.col("owner"))).groupBy("norm_hash").agg(first.alias("u"))
+    side = lambda s: u.select(F.col("norm_hash").alias(s), F.col("u").alias(f"u{s}"))
+    g = pairs.join(side("a"), "a").join(side("b"), "b")
+    shown = policy.reported(policy.of(F.col("ua.path"))) | policy.reported(policy.of(F.col("ub.path")))
+    out = g.select(
+        F.col("a").alias("norm_hash"), F.col("b").alias("other"), "ua.lang", F.lit(2).cast("long").alias("copies"), "ua.lines", "ua.nodes", F.col("shared_nodes").cast("long").alias("saves_nodes"),
+        F.when(F.col("ua.class") == F.col("ub.class"), F.col("ua.class")).otherwise("mixed").alias("population"), "ua.path", "ua.line", "similarity", shown.alias("shown"), F.col("ua.class").alias("first_class"),
+    )
+    hidden = out.where(~F.col("shown")).groupBy(F.col("first_class").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return out.where("shown").drop("shown", "first_class"), hidden
+
+
+def united(exact_groups: DataFrame, near_found: DataFrame) -> DataFrame:
+    """Groups of both tiers as one list: tier is 'exact' or 'near'; other and similarity are null for exact groups."""
+    e = exact_groups.withColumn("tier", F.lit("exact")).withColumn("other", F.lit(None).cast("string")).withColumn("similarity", F.lit(None).cast("double"))
+    return e.unionByName(near_found.withColumn("tier", F.lit("near")))
+
+
+def merged_withheld(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(class, n) of what two tiers withheld together."""
+    return a.unionByName(b).groupBy("class").agg(F.sum("n").alias("n"))

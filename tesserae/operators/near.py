@@ -109,3 +109,20 @@ def neighbors_of(bodies: DataFrame, body: str, threshold: float = THRESHOLD_F32)
     met = bodies.where(F.col("norm_hash") != body).select("norm_hash", F.size("shapes").alias("n"), F.size(F.array_intersect("shapes", mine)).cast("long").alias("shared"))
     j = F.col("shared") / F.greatest(F.col("n") + F.size(mine) - F.col("shared"), F.lit(1))
     return met.withColumn("similarity", j).where((F.col("shared") > 0) & (F.col("similarity") >= threshold)).select("norm_hash", "shared", "similarity").distinct()
+
+
+def uncovered(units: DataFrame, signatures: DataFrame) -> DataFrame:
+    """One row (uncovered_lang, uncovered_small): bodies without any shape to compare.
+
+    units: norm_hash, path, line, lang.  The first counts bodies of languages that have no shapes
+    at all (Rust), the second those that are too small to hold one; the first unit of a body says.
+    """
+    bodies = units.where(F.col("norm_hash").isNotNull()).groupBy("norm_hash").agg(F.min(F.struct("path", "line", "lang")).alias("u"))
+    bare = bodies.join(signatures.select("norm_hash").distinct(), "norm_hash", "left_anti")
+    flat = F.col("u.lang") == "rust"
+    return bare.agg(F.count_if(flat).alias("uncovered_lang"), F.count_if(~flat).alias("uncovered_small"))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Neighbours (similarity, path, line, ...) in report order: the nearest first, then by place."""
+    return found.orderBy(F.desc("similarity"), "path", "line")

@@ -65,3 +65,13 @@ def put_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
 def tiers(units: DataFrame) -> DataFrame:
     """One row: how many vectors stand for summaries and how many for identifiers."""
     return units.where(F.col("vec").isNotNull()).agg(F.count_if(F.col("vec_via") == "summary").alias("summary"), F.count_if(F.col("vec_via") != "summary").alias("identifier"))
+
+
+def named(units: DataFrame, name: str) -> DataFrame:
+    """Located units of a bare name, whoever owns them."""
+    return units.where(F.col("name") == name)
+
+
+def holding(checkouts: DataFrame, path: str | None = None) -> DataFrame:
+    """The checkouts (root, ...) whose folder a path is in; all of them without a path."""
+    return checkouts if path is None else checkouts.where((F.lit(path) == F.col("root")) | F.startswith(F.lit(path), F.concat("root", F.lit("/"))))

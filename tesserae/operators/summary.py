@@ -110,3 +110,26 @@ def decoded_params(text: Column) -> Column:
 
 def encoded_params(params: Column) -> Column:
     return F.array_join(F.transform(params, lambda p: F.concat(p["kind"], F.lit(":"), p["name"])), ";")
+
+
+def in_fill_order(wanted: DataFrame, budget: int | None) -> DataFrame:
+    """What a fill asks for next: by first place, then by key, as many as the budget has; None is no limit.
+
+    wanted: path, line, norm_hash, ctx_hash, as `pending` gives them.
+    """
+    asked = wanted.orderBy("path", "line", "norm_hash", "ctx_hash")
+    return asked if budget is None else asked.limit(budget)
+
+
+def usage(answers: DataFrame) -> DataFrame:
+    """One row of what answers (input_tokens, output_tokens) cost; nulls cost nothing."""
+    return answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("input_tokens", "output_tokens")])
+
+
+def coverage_by_source(units: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(model, via, summarizable, summarized, state): how far each source of answers has come with units."""
+    u = units.where(F.col("norm_hash").isNotNull()).select("norm_hash", "ctx_hash").groupBy("norm_hash", "ctx_hash").agg(F.count(F.lit(1)).alias("n"))
+    total = u.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("summarizable"))
+    has = summaries.select("model", "via", "norm_hash", "ctx_hash").distinct().join(u, ["norm_hash", "ctx_hash"], "left").groupBy("model", "via").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("summarized"))
+    done, of = F.col("summarized"), F.col("summarizable")
+    return has.crossJoin(F.broadcast(total)).select("model", "via", "summarizable", "summarized", F.when(done == 0, "none").when(done < of, "warming").otherwise("complete").alias("state"))

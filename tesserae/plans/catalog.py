@@ -1,6 +1,6 @@
 """All registered queries: each takes (spark, folder of tables) and returns a DataFrame."""
 
-from . import documents, scored, tables  # noqa: F401
+from . import documents, scored, tables, tiers  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
