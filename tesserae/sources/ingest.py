@@ -73,6 +73,35 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("oid", blob_oid(F.col("content"))).select("root", "path", "oid", "lang", "content")
 
 
+def author_times(porcelain: str) -> list[tuple[int, int]]:
+    """(line, author time) of the lines in a `git blame --porcelain` answer; a commit tells its time once."""
+    times: dict[str, int] = {}
+    at: list[tuple[int, str]] = []
+    for row in porcelain.split("\n"):
+        if row.startswith("\t") or not row:
+            continue
+        head = row.split(" ")
+        if head[0] == "author-time":
+            times[at[-1][1]] = int(head[1])
+        elif len(head[0]) in (40, 64) and len(head) >= 3 and head[1].isdigit() and head[2].isdigit():
+            at.append((int(head[2]), head[0]))
+    return [(line, times[commit]) for line, commit in at if commit in times]
+
+
+def blamed(spark: SparkSession, root: str, spans: DataFrame) -> DataFrame:
+    """(path, at, time): when each line of spans' files was written, as git tells on the driver, where the checkout is.
+
+    One question a file.  A file that git can't answer for has no rows, which is "not measured".
+    """
+    rows: list[tuple[str, int, int]] = []
+    if git_root(root) is not None:
+        for r in spans.select("path").distinct().orderBy("path").toLocalIterator():
+            got = subprocess.run(["git", "-C", root, "blame", "--porcelain", "--", r["path"]], capture_output=True)
+            if got.returncode == 0:
+                rows += [(r["path"], line, t) for line, t in author_times(got.stdout.decode("utf-8", "replace"))]
+    return spark.createDataFrame(rows, "path string, at int, time long")
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
     """(root, map_key): equal when a checkout's files are, whatever their order."""
     return files.groupBy("root").agg(map_key(F.col("path"), F.col("oid")).alias("map_key"))
