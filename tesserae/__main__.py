@@ -1,12 +1,14 @@
 """Command line: index, embed, summarize, dupes, search, similar, symbols, status, pending, store-summary, eval, mcp.
 
-Exit codes: 0 for an answer, 1 for none, 2 for an error.
+Exit codes: 0 for an answer, 1 for none, 2 for an error.  TESSERAE_STORE, TESSERAE_FLOOR and
+TESSERAE_EMBED_BUDGET (seconds, 0 for no limit) stand for options that aren't given.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import shlex
 import subprocess
 import sys
@@ -15,6 +17,7 @@ from pathlib import Path
 from typing import TYPE_CHECKING
 
 from .operators import exact
+from .phases import Phases
 from .sources import sinks
 
 if TYPE_CHECKING:
@@ -32,9 +35,10 @@ def fraction(value: str) -> float:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tesserae", description=__doc__)
-    p.add_argument("--store", default=str(Path.home() / ".tesserae"))
+    p.add_argument("--store", default=os.environ.get("TESSERAE_STORE") or str(Path.home() / ".tesserae"))
     p.add_argument("--root", default=".")
     p.add_argument("--ndjson", action="store_true")
+    p.add_argument("--profile", action="store_true", help="where the time went, on standard error")
     sub = p.add_subparsers(dest="verb", required=True)
     sub.add_parser("index")
     sub.add_parser("status")
@@ -47,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--include-ignored", action="store_true")
     e = sub.add_parser("embed")
     e.add_argument("scope", nargs="?")
-    e.add_argument("--budget", type=float, default=None, help="seconds; none is no limit")
+    e.add_argument("--budget", type=float, default=float(os.environ.get("TESSERAE_EMBED_BUDGET") or "0"), help="seconds; 0 is no limit")
     z = sub.add_parser("summarize")
     z.add_argument("scope", nargs="?")
     z.add_argument("--model", required=True)
@@ -61,7 +65,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("query")
     s.add_argument("scope", nargs="?")
     s.add_argument("--limit", type=int, default=10)
-    s.add_argument("--floor", type=fraction, default=0.0)
+    s.add_argument("--floor", type=fraction, default=fraction(os.environ.get("TESSERAE_FLOOR") or "0"))
     m = sub.add_parser("similar")
     m.add_argument("unit")
     m.add_argument("scope", nargs="?")
@@ -116,7 +120,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
             Server(spark, args.store, root).serve()
             return sinks.HIT
-        state = w.index()
+        phases = Phases()
+        with phases("index"):
+            state = w.index()
         if args.verb == "index":
             print(json.dumps(state))
             return sinks.HIT
@@ -143,8 +149,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             "pending": lambda: w.pending(args.limit),
         }.get(args.verb, lambda: duplicates(w, args))()
         n = 0
+        begun = phases.clock()
         for n, row in enumerate(sinks.ndjson(df), 1):  # noqa: B007 - streamed, so no list of answers is held
             print(row if args.ndjson else json.dumps(json.loads(row), indent=2, ensure_ascii=False))
+        phases.add("answer", phases.clock() - begun)
+        if args.profile:
+            print(json.dumps(phases.report()), file=sys.stderr)
         return sinks.HIT if n else sinks.MISS
     except (LookupError, ValueError, OSError, RuntimeError) as e:
         print(f"tesserae: {e}", file=sys.stderr)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import Policy
 from ..functions.text import round4
 from ..operators import canonical, caveat, evaluate, exact, near, store, summary
 from .documents import FILES, GROUPS, MIN_LINES, PAIRS, POLICY, SHAPES, UNITS, _files, signatures, units
@@ -47,6 +48,27 @@ def dupes_united_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.merged_withheld(hidden, close)
 
 
+#: Nearly every source is of a class that isn't reported.
+HIDING = Policy({f"src{i}": "generated" if i % 2 == 0 else "vendored" for i in range(100) if i != 4})
+
+
+@query(
+    "dupes_hidden",
+    f"""WITH {UNITS}, k AS (SELECT *, CASE WHEN source = 'src4' OR NOT regexp_full_match(source, 'src[0-9]{{1,2}}') THEN 'app' WHEN right(source, 1) IN ('0', '2', '4', '6', '8') THEN 'generated' ELSE 'vendored' END AS k FROM cand JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
+g AS (SELECT norm_hash, min({{'path': path, 'k': k}}) AS h, bool_or(k = 'app') AS shown FROM k GROUP BY norm_hash HAVING count(*) >= 2) SELECT h.k AS class, count(*) AS n FROM g WHERE NOT shown GROUP BY 1""",
+)
+def dupes_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many groups a policy withholds that hides nearly everything."""
+    return exact.groups(units(spark, sf_dir), HIDING, min_lines=MIN_LINES)[1]
+
+
+@query("dupes_min_lines", f"WITH {UNITS} SELECT norm_hash, count(*) AS copies, min(end_line) AS lines FROM (SELECT norm_hash, end_line FROM cand WHERE end_line >= 4) GROUP BY norm_hash HAVING count(*) >= 2")
+def dupes_min_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups among documents of 4 lines and more, whatever their class."""
+    found, _ = exact.groups(units(spark, sf_dir), Policy(include_ignored=True), min_lines=exact.MIN_LINES)
+    return found.join(exact.members(units(spark, sf_dir), found), "norm_hash").groupBy("norm_hash", "copies").agg(F.min("end_line").alias("lines"))
+
+
 @query("near_uncovered", f"WITH {UNITS}, few AS (SELECT norm_hash, min({{'path': path, 'lang': lang}}) AS u, max(nodes) AS nodes FROM cand GROUP BY norm_hash) SELECT count(*) FILTER (u.lang = 'de') AS uncovered_lang, count(*) FILTER (u.lang IS NULL OR u.lang <> 'de' AND nodes < 100) AS uncovered_small FROM few")
 def near_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies without shapes, if German had none and a body of fewer than 100 tokens no shape of its own."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesserae import scoring
 from tesserae.mcp import TOOLS, Server, cancelled
 from tesserae.operators import caveat, evaluate, near, store
+from tesserae.phases import Phases
 from tesserae.sources import ingest
 from tesserae.workspace import Workspace
 
@@ -141,3 +142,13 @@ def test_small_parts(spark):
     spans = spark.createDataFrame([("p", 1, 2), ("q", 1, 2), (None, 1, 1)], "path string, line int, end_line int")
     lines = spark.createDataFrame([("p", 2, 5), ("p", 1, 9), ("p", 3, 1)], "path string, at int, time long")
     assert sorted((r.path or "", r.age) for r in caveat.oldest(spans, lines).where(F.col("path").isNotNull()).collect()) == [("p", 5), ("q", None)]
+
+
+def test_phases():
+    p = Phases()
+    with p("a"):
+        pass
+    p.add("a", 1000.0)
+    p.add("b", 1.0)
+    r = p.report()
+    assert [(x["phase"], x["calls"]) for x in r["phases"]] == [("a", 2), ("b", 1)] and r["unaccounted"] == 0 and r["overlap"] > 900
