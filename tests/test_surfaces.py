@@ -152,3 +152,24 @@ def test_phases():
     p.add("b", 1.0)
     r = p.report()
     assert [(x["phase"], x["calls"]) for x in r["phases"]] == [("a", 2), ("b", 1)] and r["unaccounted"] == 0 and r["overlap"] > 900
+
+
+def test_rankings_and_neighbours(w, tmp_path):
+    (tmp_path / "queries.tsv").write_text("settle invoice\tInvoice#settle\nanything\tNo#one\n")
+    (tmp_path / "similar.tsv").write_text("Invoice#settle\tmust\tReceipt#store\tstructural\nInvoice#settle\tmust_not\tReceipt#store\tnear\n")
+    got = scoring.score(w, str(tmp_path))
+    assert got["similar"] == {"must": "1/1 (100 %)", "must_not": "0/1 (0 %)"}
+    assert all((got["ranking"][k]["top1"], got["ranking"][k]["total"], got["ranking"][k]["unknown"]) == (1, 1, 1) for k in ("best", "words"))
+    assert len(got["ranking"]["floors"]) == 11
+
+
+def test_caveats(spark, tmp_path):
+    (tmp_path / "co").mkdir()
+    for outer in ("Red", "Blue"):
+        (tmp_path / f"co/{outer.lower()}.rb").write_text(f"module {outer}\n  class Box\n    def size\n      a = LIMIT\n      b = a + 1\n      b * 2\n    end\n  end\nend\n")
+    w = Workspace(spark, str(tmp_path / "s"), str(tmp_path / "co"))
+    w.index()
+    found = w.dupes()[0]
+    two = spark.createDataFrame([("LIMIT", "Red"), ("LIMIT", "Blue")], "name string, parent string")
+    assert [r.name for r in w.caveats(found, two).collect()] == ["LIMIT"]
+    assert w.caveats(found, spark.createDataFrame([("LIMIT", "")], two.schema)).count() == 0
