@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round2
-from .sizes import bounded
-
-#: Units whose words are counted in one task, about: a row for each of them and each query is held there.
-UNITS = 1_000
 
 
 def labelled_rank(ranking: DataFrame, labels: DataFrame, known_ids: DataFrame) -> DataFrame:
@@ -25,14 +21,11 @@ def overlap_ranking(units: DataFrame, queries: DataFrame) -> DataFrame:
     """The baseline (query_id, unit, hits, rank): units by how many distinct query tokens their text has.
 
     units: unit, lines, tokens; queries: query_id, tokens.  More hits first, then shorter, then
-    the order of units.  Units are dealt out before their words are exploded, `UNITS` to a partition, so
-    what is counted and sorted in a task doesn't grow with the input.
+    the order of units.
     """
-    parts = -(-units.select("unit").count() // UNITS) or 1
     q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("t"))
-    dealt = units.select("unit", "lines", F.array_distinct("tokens").alias("t")).repartition(parts, "unit")
-    u = dealt.select("unit", "lines", F.explode("t").alias("t"))
-    hits = u.join(bounded(q), "t").groupBy("query_id", "unit", "lines").agg(F.count(F.lit(1)).alias("hits"))
+    u = units.select("unit", "lines", F.explode(F.array_distinct("tokens")).alias("t"))
+    hits = u.join(q, "t").groupBy("query_id", "unit", "lines").agg(F.count(F.lit(1)).alias("hits"))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "lines", "unit"))).select("query_id", "unit", "hits", "rank")
 
 
